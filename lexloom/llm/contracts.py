@@ -1,0 +1,16 @@
+"""The thin opN queries: each applies its operator to the whole intended table and derives the contract's columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lexloom.llm import mixing
+from lexloom.session import table
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_mixing": op9_mixing}
+SQL = {"op9_mixing": mixing.MIX_SQL}
