@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexloom.llm import mixing
+from lexloom.llm import mixing, token_files
+from lexloom.llm.common import scratch_path
 from lexloom.session import table
 
 
+#: Tokenizer files that the queries use; their place is a parameter of every operator.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, WORD_BPE, by_word=True, end_id=1)
+    read = token_files.read_token_files(spark, path)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_mixing": op9_mixing}
+QUERIES = {"op1_token_files": op1_token_files, "op9_mixing": op9_mixing}
 SQL = {"op9_mixing": mixing.MIX_SQL}
