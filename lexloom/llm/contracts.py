@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import mixing, quality, token_files
+from lexloom.llm import mixing, quality, secrets, token_files
 from lexloom.llm.common import scratch_path
 from lexloom.session import table
 
@@ -28,9 +28,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *measures, "base_failed", (~F.col("base_failed") & F.col("failed_rule").isNull()).alias("kept"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda k: F.size(F.filter("strong", lambda s: s["rank"] == k)).cast("long")
+    base = F.sha2(secrets.listing(F.col("strong")), 256)
+    return rows.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), base.alias("base_sha256"), secrets.listing(F.col("spans")).alias("spans"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op4_quality": op4_quality, "op9_mixing": op9_mixing}
+QUERIES = {"op1_token_files": op1_token_files, "op4_quality": op4_quality, "op6_secrets": op6_secrets, "op9_mixing": op9_mixing}
 SQL = {"op4_quality": quality.QUALITY_SQL, "op9_mixing": mixing.MIX_SQL}
