@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import mixing, quality, secrets, token_files
+from lexloom.llm import mixing, quality, secrets, simhash, token_files
 from lexloom.llm.common import scratch_path
 from lexloom.session import table
 
@@ -22,6 +22,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.cascade(table(spark, sf_dir, "documents"))
     measures = (F.col(f"q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
@@ -39,5 +44,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op4_quality": op4_quality, "op6_secrets": op6_secrets, "op9_mixing": op9_mixing}
+QUERIES = {"op1_token_files": op1_token_files, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op6_secrets": op6_secrets, "op9_mixing": op9_mixing}
 SQL = {"op4_quality": quality.QUALITY_SQL, "op9_mixing": mixing.MIX_SQL}
