@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import mixing, quality, secrets, simhash, token_files
+from lexloom.llm import mixing, quality, secrets, simhash, token_files, topk
 from lexloom.llm.common import scratch_path
 from lexloom.session import table
 
@@ -44,5 +44,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op6_secrets": op6_secrets, "op9_mixing": op9_mixing}
-SQL = {"op4_quality": quality.QUALITY_SQL, "op9_mixing": mixing.MIX_SQL}
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {"op1_token_files": op1_token_files, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op6_secrets": op6_secrets, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
+SQL = {"op4_quality": quality.QUALITY_SQL, "op9_mixing": mixing.MIX_SQL, "op10_topk": topk.TOPK_SQL}
