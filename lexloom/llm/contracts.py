@@ -17,7 +17,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
-    token_files.write_token_files(table(spark, sf_dir, "documents"), path, WORD_BPE, by_word=True, end_id=1)
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, WORD_BPE, end_id=1)
     read = token_files.read_token_files(spark, path)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

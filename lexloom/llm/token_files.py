@@ -13,6 +13,7 @@ table gives empty tables; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,92 +25,114 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexloom.llm import huffman
-from lexloom.llm.common import small_batches, stored
+from lexloom.llm.common import drop_stored, small_batches, stored
 
-#: Words that a worker remembers, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 400_000, 200
+#: Words, and pretokens, that a worker remembers in each of two generations; longer ones are not remembered.
+CACHE_WORDS, CACHE_CHARS = 200_000, 100
 #: Ids after which a row of blocks ends, at a document's end.
 ROW_IDS = 1 << 20
 
-_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_ODD = regex.compile(r"[^\S ]|<\|")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRETOKENS = regex.compile(_SPLIT).findall
+_ODD = regex.compile(r"[^\S ]|<\|").search
 _encoders: dict[int, "TextEncoder"] = {}
 
 
+class _Memory(dict):
+    """A mapping that learns missing keys and forgets those of the generation before last."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn, self.old = learn, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.learn(key)
+        if len(key) <= CACHE_CHARS:
+            self[key] = value
+        return value
+
+    def age(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
+def _byte_characters() -> dict[int, str]:
+    """The printable character that byte-level models use for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class TextEncoder:
-    """Encodes texts by a tokenizer of the tokenizers library.
+    """Encodes texts by a tokenizer of the tokenizers library, with ids of the narrowest of 16 and 32 bits.
 
-    by_word says that the tokenizer drops white space and that no rule crosses it, as in word-level BPE: words are then
-    encoded once and remembered. A word's ids are cut from those of a line of new words at the end-of-word tokens, of
-    which each pretoken has one; words with odd characters, or lines whose count differs, are encoded one by one.
+    Where the tokenizer's file says that it drops white space and splits words by the usual pattern (no rule then crosses
+    white space), new words are normalised and split once, the library's model encodes new pretokens, and a text joins
+    its words' ids. Words with odd white space or special tokens, and all texts of other tokenizers, take the library's full path.
     """
 
-    def __init__(self, spec: str, by_word: bool, suffix: bytes = b""):
+    def __init__(self, spec: str, end_id: int | None = None):
         self.tokenizer = Tokenizer.from_str(spec)
-        self.by_word, self.suffix = by_word, suffix
-        self.cache: dict[str, bytes] = {"": b""}
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.zeros(size, bool)
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, words: list[str]) -> None:
-        odd = [w for w in words if _ODD.search(w)]
-        plain = [w for w in words if not _ODD.search(w)] if odd else words
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            line = " ".join(part)
-            shown = self.tokenizer.normalizer.normalize_str(line).split(" ")
-            ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
-            counts = np.array([1 if w.isalpha() else len(_PRETOKEN.findall(w)) for w in shown])
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(shown) != len(part) or counts.sum() != len(ends) or not counts.all():
-                odd += part
-                continue
-            stops = 4 * ends[np.cumsum(counts) - 1]
-            data, a = ids.tobytes(), 0
-            for w, b in zip(part, stops.tolist()):
-                self.cache[w] = data[a:b]
-                a = b
-        for w in odd:
-            self.cache[w] = self._ids(w).tobytes()
+        self.model, self.dtype = self.tokenizer.model, id_type(spec)
+        self.suffix = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
+        said = json.loads(spec)
+        steps = [n["type"] for n in (said.get("normalizer") or {}).get("normalizers", [])]
+        parts = (said.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        split = parts[0] if parts else {}
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in parts] == ["Split", "ByteLevel"] and split["pattern"] == {"Regex": _SPLIT} and split["invert"] and split["behavior"] == "Removed"
+        self.characters = _byte_characters()
+        self.pretokens, self.words = _Memory(self._pretoken), _Memory(self._word)
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _pretoken(self, pretoken: str) -> bytes:
+        shown = pretoken.encode().decode("latin-1").translate(self.characters)
+        return np.array([t.id for t in self.model.tokenize(shown)], self.dtype).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if _ODD(word):
+            return self._ids(word)
+        normal = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
+        if normal.isalpha():
+            return self.pretokens[normal]
+        return b"".join([self.pretokens[p] for p in _PRETOKENS(normal)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian uint32 ids of each text, and the suffix."""
+        """Little-endian ids of each text, and the end id."""
         if not self.by_word:
-            return [self._ids(t or "").tobytes() + self.suffix for t in texts]
-        rows = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        new = set().union(*rows).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache = {"": b""}
-            new = set().union(*rows).difference(self.cache)
-        self._learn(list(new))
-        look = self.cache.__getitem__
-        out = [b"".join(map(look, row)) + self.suffix for row in rows]
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del self.cache[w]
+            return [self._ids(t or "") + self.suffix for t in texts]
+        look = self.words.__getitem__
+        out = []
+        for t in texts:
+            words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else ()
+            out.append(b"".join(map(look, words)) + self.suffix)
+            self.words.age()
+            self.pretokens.age()
         return out
 
 
-def encode_ids(docs: DataFrame, tokenizer_file: str, by_word: bool = False, end_id: int | None = None) -> DataFrame:
-    """doc_id and ids (binary, little-endian uint32) of every whole text; end_id closes each document.
+def id_type(spec: str) -> str:
+    """numpy type of the ids of a tokenizer's file."""
+    return "<u2" if Tokenizer.from_str(spec).get_vocab_size() <= 1 << 16 else "<u4"
 
-    The tokenizer's file (of fixed size) is read on the driver and broadcast: executors need no copy of it.
+
+def encode_ids(docs: DataFrame, spec: str, end_id: int | None = None) -> DataFrame:
+    """doc_id and ids (binary, little-endian of id_type(spec)) of every whole text; end_id closes each document.
+
+    spec is the tokenizer's file (of fixed size), which is broadcast: executors need no copy of it.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    with open(tokenizer_file, encoding="utf-8") as f:
-        spec = spark.sparkContext.broadcast(f.read())
-    suffix = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash((spec.value, by_word, suffix))
+        key = hash((sent.value, end_id))
         if key not in _encoders:
             _encoders.clear()
-            _encoders[key] = TextEncoder(spec.value, by_word, suffix)
+            _encoders[key] = TextEncoder(sent.value, end_id)
         for batch in batches:
             ids = _encoders[key].encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
@@ -117,13 +140,13 @@ def encode_ids(docs: DataFrame, tokenizer_file: str, by_word: bool = False, end_
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def count_ids(encoded: DataFrame) -> np.ndarray:
+def count_ids(encoded: DataFrame, dtype: str) -> np.ndarray:
     """Occurrences of every id over the whole collection: at most one number an id of the vocabulary reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            some = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"))
+            some = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype))
             if len(some) > len(total):
                 total, some = some.astype(np.int64), total
             total[: len(some)] += some
@@ -136,33 +159,36 @@ def count_ids(encoded: DataFrame) -> np.ndarray:
     return counts
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, by_word: bool = False, end_id: int | None = None) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int | None = None) -> None:
     """Encode all texts and write them to path in the format above, in ascending doc_id order."""
     spark = docs.sparkSession
-    encoded = stored(encode_ids(docs, tokenizer_file, by_word, end_id), "token-ids")
-    lengths = huffman.code_lengths(count_ids(encoded))
+    with open(tokenizer_file, encoding="utf-8") as f:
+        spec = f.read()
+    dtype = id_type(spec)
+    encoded = stored(encode_ids(docs, spec, end_id), "token-ids")
+    lengths = huffman.code_lengths(count_ids(encoded, dtype))
     ids = np.flatnonzero(lengths)
     book = pa.table({"id": ids, "length": lengths[ids].astype(np.int32)})
     spark.createDataFrame(book.to_pandas(), "id long, length int").coalesce(1).write.parquet(f"{path}/codebook")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = huffman.Codebook(lengths)
+        code, width = huffman.Codebook(lengths), np.dtype(dtype).itemsize
         shard, seq, start = TaskContext.get().partitionId(), 0, 0
         doc_ids: list[int | None] = []
         rows: list[bytes] = []
         held = 0
 
         def row() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(rows), "<u4")
+            tokens = np.frombuffer(b"".join(rows), dtype)
             payload, checkpoints = code.encode(tokens)
-            cells = [shard, seq, start, doc_ids, [len(r) // 4 for r in rows], payload, checkpoints]
+            cells = [shard, seq, start, doc_ids, [len(r) // width for r in rows], payload, checkpoints]
             return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, (f.type for f in _ROW))], schema=_ROW)
 
         for batch in batches:
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 doc_ids.append(doc_id)
                 rows.append(data)
-                held += len(data) // 4
+                held += len(data) // width
                 if held >= ROW_IDS:
                     yield row()
                     seq, start, held, doc_ids, rows = seq + 1, start + held, 0, [], []
@@ -171,6 +197,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, by_word:
 
     ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(run, _ROW_DDL).write.parquet(f"{path}/blocks")
+    drop_stored(encoded)
 
 
 _ROW = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("shard_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary()), ("checkpoints", pa.binary())])
