@@ -14,6 +14,31 @@ LOCAL_SCRATCH = "file:///tmp/checkpoints/lexloom"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Words, and the like, that a worker remembers in each of two generations; longer ones are not remembered.
+CACHE_WORDS, CACHE_CHARS = 200_000, 100
+
+
+class Memory(dict):
+    """A mapping that learns missing keys and forgets those of the generation before last."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn, self.old = learn, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.learn(key)
+        if len(key) <= CACHE_CHARS:
+            self[key] = value
+        return value
+
+    def age(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that the cluster names in spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH

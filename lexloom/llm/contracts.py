@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import mixing, quality, secrets, simhash, token_files, topk
+from lexloom.llm import mixing, pieces, quality, secrets, simhash, token_files, topk
 from lexloom.llm.common import scratch_path
 from lexloom.session import table
 
 
 #: Tokenizer files that the queries use; their place is a parameter of every operator.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,15 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), base.alias("base_sha256"), secrets.listing(F.col("spans")).alias("spans"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text to ids and back: number and CRC-32 of the ids, and whether decoding gives the text again."""
+    docs = table(spark, sf_dir, "documents").withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    encoded = pieces.encode_pieces(docs, PIECES, keep=("doc_id", "text_key"))
+    encoded = encoded.withColumns({"n_pieces": (F.octet_length("piece_ids") / 4).cast("long"), "ids_crc32": F.crc32("piece_ids")})
+    decoded = pieces.decode_pieces(encoded, PIECES)
+    return decoded.select("doc_id", "n_pieces", "ids_crc32", (F.xxhash64("decoded") == F.col("text_key")).alias("round_trip"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -48,5 +58,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op6_secrets": op6_secrets, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
+QUERIES = {"op1_token_files": op1_token_files, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op6_secrets": op6_secrets, "op8_pieces": op8_pieces, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
 SQL = {"op4_quality": quality.QUALITY_SQL, "op9_mixing": mixing.MIX_SQL, "op10_topk": topk.TOPK_SQL}

@@ -25,10 +25,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexloom.llm import huffman
-from lexloom.llm.common import drop_stored, small_batches, stored
+from lexloom.llm.common import Memory, drop_stored, small_batches, stored
 
-#: Words, and pretokens, that a worker remembers in each of two generations; longer ones are not remembered.
-CACHE_WORDS, CACHE_CHARS = 200_000, 100
 #: Ids after which a row of blocks ends, at a document's end.
 ROW_IDS = 1 << 20
 
@@ -38,27 +36,6 @@ _ODD = regex.compile(r"[^\S ]|<\|").search
 _encoders: dict[int, "TextEncoder"] = {}
 
 
-class _Memory(dict):
-    """A mapping that learns missing keys and forgets those of the generation before last."""
-
-    def __init__(self, learn):
-        super().__init__()
-        self.learn, self.old = learn, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.learn(key)
-        if len(key) <= CACHE_CHARS:
-            self[key] = value
-        return value
-
-    def age(self) -> None:
-        if len(self) > CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-
-
 def _byte_characters() -> dict[int, str]:
     """The printable character that byte-level models use for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -84,7 +61,7 @@ class TextEncoder:
         split = parts[0] if parts else {}
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in parts] == ["Split", "ByteLevel"] and split["pattern"] == {"Regex": _SPLIT} and split["invert"] and split["behavior"] == "Removed"
         self.characters = _byte_characters()
-        self.pretokens, self.words = _Memory(self._pretoken), _Memory(self._word)
+        self.pretokens, self.words = Memory(self._pretoken), Memory(self._word)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
