@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import mixing, pieces, quality, secrets, simhash, token_files, topk
+from lexloom.llm import mixing, pieces, quality, secrets, simhash, token_files, topk, toxicity
 from lexloom.llm.common import scratch_path
 from lexloom.session import table
 
@@ -23,6 +23,19 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def held_out(doc_id: Column) -> Column:
+    """One id in five by CRC-32 of its decimal digits: its label trains nothing."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels))
+    flagged = (F.col("tox_score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("tox_score").alias("score"), flagged, F.size("tox_passages").alias("n_passages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -58,5 +71,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op6_secrets": op6_secrets, "op8_pieces": op8_pieces, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
+QUERIES = {"op1_token_files": op1_token_files, "op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op6_secrets": op6_secrets, "op8_pieces": op8_pieces, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
 SQL = {"op4_quality": quality.QUALITY_SQL, "op9_mixing": mixing.MIX_SQL, "op10_topk": topk.TOPK_SQL}
