@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import mixing, pieces, quality, secrets, simhash, token_files, topk, toxicity
+from lexloom.llm import html_text, mixing, pieces, quality, secrets, simhash, token_files, topk, toxicity
 from lexloom.llm.common import scratch_path
 from lexloom.session import table
 
@@ -47,6 +47,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *measures, "base_failed", (~F.col("base_failed") & F.col("failed_rule").isNull()).alias("kept"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.extract_text(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda k: F.size(F.filter("strong", lambda s: s["rank"] == k)).cast("long")
@@ -71,5 +76,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op6_secrets": op6_secrets, "op8_pieces": op8_pieces, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
+QUERIES = {"op1_token_files": op1_token_files, "op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op5_html": op5_html, "op6_secrets": op6_secrets, "op8_pieces": op8_pieces, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
 SQL = {"op4_quality": quality.QUALITY_SQL, "op9_mixing": mixing.MIX_SQL, "op10_topk": topk.TOPK_SQL}
