@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import html_text, mixing, pieces, quality, secrets, simhash, token_files, topk, toxicity
+from lexloom.llm import html_text, mixing, pieces, quality, secrets, simhash, substrings, token_files, topk, toxicity
 from lexloom.llm.common import scratch_path
 from lexloom.session import table
 
@@ -59,6 +59,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), base.alias("base_sha256"), secrets.listing(F.col("spans")).alias("spans"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.deduplicated(table(spark, sf_dir, "documents"))
+    lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return rows.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text to ids and back: number and CRC-32 of the ids, and whether decoding gives the text again."""
     docs = table(spark, sf_dir, "documents").withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -76,5 +82,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op5_html": op5_html, "op6_secrets": op6_secrets, "op8_pieces": op8_pieces, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
+QUERIES = {"op1_token_files": op1_token_files, "op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op5_html": op5_html, "op6_secrets": op6_secrets, "op7_substrings": op7_substrings, "op8_pieces": op8_pieces, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
 SQL = {"op4_quality": quality.QUALITY_SQL, "op9_mixing": mixing.MIX_SQL, "op10_topk": topk.TOPK_SQL}
