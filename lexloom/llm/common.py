@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Words, and the like, that a worker remembers in each of two generations; longer ones are not remembered.
-CACHE_WORDS, CACHE_CHARS = 200_000, 100
+CACHE_WORDS, CACHE_CHARS = 500_000, 100
 
 
 class Memory(dict):

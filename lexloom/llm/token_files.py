@@ -14,6 +14,8 @@ table gives empty tables; further columns are ignored.
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,7 @@ ROW_IDS = 1 << 20
 
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PRETOKENS = regex.compile(_SPLIT).findall
+_ASCII_PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
 _ODD = regex.compile(r"[^\S ]|<\|").search
 _encoders: dict[int, "TextEncoder"] = {}
 
@@ -53,37 +56,41 @@ class TextEncoder:
 
     def __init__(self, spec: str, end_id: int | None = None):
         self.tokenizer = Tokenizer.from_str(spec)
-        self.model, self.dtype = self.tokenizer.model, id_type(spec)
+        self.dtype = id_type(spec)
         self.suffix = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
         said = json.loads(spec)
         steps = [n["type"] for n in (said.get("normalizer") or {}).get("normalizers", [])]
         parts = (said.get("pre_tokenizer") or {}).get("pretokenizers", [])
         split = parts[0] if parts else {}
-        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in parts] == ["Split", "ByteLevel"] and split["pattern"] == {"Regex": _SPLIT} and split["invert"] and split["behavior"] == "Removed"
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in parts] == ["Split", "ByteLevel"] and split["pattern"] == {"Regex": _SPLIT} and split["invert"] and split["behavior"] == "Removed" and said["model"].get("end_of_word_suffix") == "</w>"
+        self.model, self.code = self.tokenizer.model, "H" if self.dtype == "<u2" else "I"
         self.characters = _byte_characters()
+        self._normal = self.tokenizer.normalizer.normalize_str if self.by_word else str
         self.pretokens, self.words = Memory(self._pretoken), Memory(self._word)
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _pretoken(self, pretoken: str) -> bytes:
-        shown = pretoken.encode().decode("latin-1").translate(self.characters)
-        return np.array([t.id for t in self.model.tokenize(shown)], self.dtype).tobytes()
+        shown = pretoken if pretoken.isascii() else pretoken.encode().decode("latin-1").translate(self.characters)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        normal = word.lower() if word.isascii() else self._normal(word)
+        if normal.isalpha() and word.isalpha():  # by far the most
+            return self.pretokens[normal]
         if _ODD(word):
             return self._ids(word)
-        normal = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
-        if normal.isalpha():
-            return self.pretokens[normal]
-        return b"".join([self.pretokens[p] for p in _PRETOKENS(normal)])
+        known = self.pretokens
+        if normal[:-1].isalpha() and normal[-1] in ",.":
+            return known[normal[:-1]] + known[normal[-1]]
+        return b"".join([known[p] for p in (_ASCII_PRETOKENS if normal.isascii() else _PRETOKENS)(normal)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text, and the end id."""
         if not self.by_word:
             return [self._ids(t or "") + self.suffix for t in texts]
-        look = self.words.__getitem__
-        out = []
+        look, out = self.words.__getitem__, []
         for t in texts:
             words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else ()
             out.append(b"".join(map(look, words)) + self.suffix)
