@@ -142,7 +142,7 @@ def agglomerated(features: DataFrame, labels: DataFrame, clusters: int, best: Da
         rows = [(i, f, 1.0) for i, (names, *_) in enumerate(sorted(held, key=lambda x: min(x[0]))) for f in sorted(names)]
         return pd.DataFrame(rows, columns=["cluster_id", "feature", "factor"])
 
-    return columns.groupBy(F.lit(1)).applyInPandas(kernel, "cluster_id int, feature string, factor double")
+    return columns.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(kernel, "cluster_id int, feature string, factor double")
 
 
 def most_similar(missing: DataFrame, known: DataFrame) -> DataFrame:

@@ -499,13 +499,13 @@ def _points(spark, sf):
 
 @query("nearest_centroid", f"""WITH dims AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS x FROM (SELECT *, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)),
 c AS (SELECT label AS cluster_id, i, avg(x) AS c FROM dims GROUP BY ALL),
-d AS (SELECT vec_id AS id, cluster_id, round(sum((x - c) * (x - c)), 6) AS distance FROM dims JOIN c USING (i) GROUP BY ALL)
+d AS (SELECT vec_id AS id, cluster_id, round(sum((x - c) * (x - c)), 4) AS distance FROM dims JOIN c USING (i) GROUP BY ALL)
 SELECT id, cluster_id, distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, cluster_id) = 1""")
 def _(spark, sf):
     p = _points(spark, sf)
     dims = p.select(F.col("label").alias("cluster_id"), F.posexplode("vec").alias("d", "x")).groupBy("cluster_id", "d").agg(F.avg("x").alias("c"))
     centroids = dims.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "c"))), lambda s: s["c"]).alias("c"))
-    return C.nearest_centroid(p, centroids).withColumn("distance", F.round("distance", 6))
+    return C.nearest_centroid(p, centroids).withColumn("distance", F.round("distance", 4))
 
 
 @query("cluster_stats", f"""WITH {SPLIT}, {_PURITY} SELECT (length(feature) % 16)::INTEGER AS cluster_id, round(avg(1 - pos), 6) AS mean, round(var_pop(1 - pos), 6) AS variance, count(*) AS n FROM purity WHERE 1 - pos <> 0.5 GROUP BY ALL""")
@@ -521,7 +521,7 @@ def _(spark, sf):
 
 
 @query("similar_feature", f"""WITH {_ESA}, a AS (SELECT concept_id AS feature, token AS term FROM tf WHERE concept_id % 2 = 0), b AS (SELECT concept_id AS replacement, token AS term FROM tf WHERE concept_id % 2 = 1),
-s AS (SELECT feature, replacement, count(*) AS both FROM a JOIN b USING (term) GROUP BY ALL), j AS (SELECT feature, replacement, both::DOUBLE / (na + nb - both) AS similarity FROM s JOIN (SELECT feature, count(*) AS na FROM a GROUP BY ALL) USING (feature) JOIN (SELECT replacement, count(*) AS nb FROM b GROUP BY ALL) USING (replacement))
+s AS (SELECT feature, replacement, count(*) AS common FROM a JOIN b USING (term) GROUP BY ALL), j AS (SELECT feature, replacement, common::DOUBLE / (na + nb - common) AS similarity FROM s JOIN (SELECT feature, count(*) AS na FROM a GROUP BY ALL) USING (feature) JOIN (SELECT replacement, count(*) AS nb FROM b GROUP BY ALL) USING (replacement))
 SELECT feature, replacement, round(similarity, 6) AS similarity FROM j QUALIFY row_number() OVER (PARTITION BY feature ORDER BY round(similarity, 9) DESC, replacement) = 1""")
 def _(spark, sf):
     t = articles(spark, sf).select(F.col("concept_id").alias("feature"), F.col("token").alias("term"))
