@@ -11,8 +11,8 @@ the k-th score within the sample, a true lower bound. A task cuts its sorted row
 them from the nearest outward and scores an annulus only for the queries whose bound |d(q, p) - d(x, p)| does not exceed
 the distance of their k-th score so far: the triangle inequality rules out the rest. Scores are exact integers.
 
-Defined results: vectors that are null or hold a null or non-finite component, and rows without an id, take no part; a query
-never meets rows of its own id; ties go to the smaller id; fewer than k candidates give fewer rows; an empty table none.
+Defined results: vectors that are null or hold a null or non-finite component, and rows without an id, take no part; vectors
+shorter than the longest go on with zeros; a query never meets rows of its own id; ties go to the smaller id; fewer than k candidates give fewer rows; an empty table none.
 """
 
 from __future__ import annotations
@@ -139,6 +139,8 @@ def top_k(table: DataFrame, is_query, k: int = 5, pivots: int = PIVOTS, id_col:
     schema = "query_id long, rank int, vec_id long, score long"
     if not facts.width:
         return spark.createDataFrame([], schema)
+    missing = F.array_repeat(F.lit(0.0), F.lit(facts.width) - F.size("v"))
+    vectors = vectors.withColumn("v", F.concat("v", missing))
     picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     sample_ids, sample = picked.vec_id.to_numpy(), np.stack(picked.v.to_list())
     space = _Space(sample, facts.top, pivots)

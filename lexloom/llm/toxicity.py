@@ -15,7 +15,8 @@ on the training documents, of the extreme-value significance of its best segment
 Training takes at most TRAIN_ROWS labelled rows, chosen by a hash of the id; the prior counts the whole corpus.
 
 Defined results: a null or empty text has no segments and the score of no evidence, below 0.5; rows with a null label or id do not train;
-an id with several labels is toxic if any is; without both classes the score is 0; ties and repeated rows score alike; further columns pass through.
+an id with several labels is toxic if any is; without both classes the score is 0; ties and repeated rows score alike; further
+columns pass through, but for any named tox_score or tox_passages, which the results replace.
 """
 
 from __future__ import annotations
@@ -254,6 +255,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", passages: bool = True) -> DataFrame:
     """docs with tox_score and, if wanted, tox_passages: array of (start, end, score, expected) in code points of the text."""
     small_batches(docs.sparkSession)
+    docs = docs.drop("tox_score", "tox_passages")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
