@@ -16,17 +16,21 @@ from pyspark.sql import functions as F
 MAX_ITERATIONS, DELTA, BRANCHES = 25, 0.01, 16
 
 
+def _vectors(points: DataFrame) -> DataFrame:
+    """Points as ML vectors, kept while the model's iterations read them again and again; spilt to disk if they don't fit."""
+    return points.select("feature", array_to_vector("vec").alias("features")).persist()
+
+
 def k_means(points: DataFrame, k: int, cosine: bool = True, seed: int = 1) -> DataFrame:
     """cluster_id, feature and factor 1 of points(feature, vec); zero vectors take no part in cosine clusters."""
-    rows = points.where(F.exists("vec", lambda x: x != 0)) if cosine else points
-    data = rows.select("feature", array_to_vector("vec").alias("features"))
+    data = _vectors(points.where(F.exists("vec", lambda x: x != 0)) if cosine else points)
     model = KMeans(k=k, maxIter=MAX_ITERATIONS, tol=DELTA, seed=seed, distanceMeasure="cosine" if cosine else "euclidean").fit(data)
     return model.transform(data).select(F.col("prediction").alias("cluster_id"), "feature", F.lit(1.0).alias("factor"))
 
 
 def hierarchical(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """k-means into BRANCHES branches, bisected on to k clusters."""
-    data = points.select("feature", array_to_vector("vec").alias("features"))
+    data = _vectors(points)
     model = BisectingKMeans(k=k, maxIter=MAX_ITERATIONS, seed=seed).fit(data)
     return model.transform(data).select(F.col("prediction").alias("cluster_id"), "feature", F.lit(1.0).alias("factor"))
 
@@ -77,6 +81,16 @@ def link_points(links: DataFrame, hashed: int = 256) -> DataFrame:
     return document_points(rows, hashed)
 
 
+def concept_points(embeddings: DataFrame, features: DataFrame, least: int = 3, inlinks: DataFrame | None = None, least_links: int = 100) -> DataFrame:
+    """feature and vec of embeddings(term, vec) whose term is the id of a concept of at least `least` documents and, where
+    inlinks(id, n) is given, of `least_links` links."""
+    ids = features.groupBy("feature").agg(F.count("*").alias("df")).where(F.col("df") >= least).select(F.expr("try_cast(feature as long)").alias("id"))
+    if inlinks is not None:
+        ids = ids.join(inlinks.where(F.col("n") >= least_links).select("id"), "id", "left_semi")
+    rows = embeddings.withColumn("id", F.expr("try_cast(term as long)")).where("id is not null")
+    return rows.join(ids, "id", "left_semi").select(F.col("id").cast("string").alias("feature"), "vec")
+
+
 def nearest_centroid(points: DataFrame, centroids: DataFrame) -> DataFrame:
     """id and cluster_id of the nearest of k centroids(cluster_id, c), equal distances to the smaller id. The k centroids
     are one array row beside every point: no pair is emitted."""

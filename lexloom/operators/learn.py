@@ -50,6 +50,7 @@ def dense_rows(docs: DataFrame, features: DataFrame, names: list[str]) -> DataFr
 
 def train_svm(data: DataFrame, c: float = 0.1, weight: str | None = None, iterations: int = 50) -> LinearSVCModel:
     """Linear soft-margin classifier of data(features, label); the regularisation matches a cost of c a row."""
+    data = data.persist()  # every iteration reads it
     n = max(data.count(), 1)
     svm = LinearSVC(regParam=1.0 / (n * c), standardization=False, maxIter=iterations, tol=1e-3)
     return (svm.setWeightCol(weight) if weight else svm).fit(data)
@@ -105,9 +106,9 @@ def write_lda(lines: DataFrame, path: str) -> None:
 
 def topics(tokens: DataFrame, k: int, iterations: int = 20, seed: int = 1, words: int = 200) -> DataFrame:
     """topic, word, weight: a topic model with the customary priors 50/k and 0.1."""
-    docs = tokens.groupBy("doc_id").agg(F.collect_list("token").alias("words"))
+    docs = tokens.groupBy("doc_id").agg(F.collect_list("token").alias("words")).persist()
     counted = CountVectorizer(inputCol="words", outputCol="features", minDF=2).fit(docs)
-    model = LDA(k=k, maxIter=iterations, seed=seed, docConcentration=[max(50 // k, 1) + 0.0], topicConcentration=0.1, optimizer="online").fit(counted.transform(docs))
+    model = LDA(k=k, maxIter=iterations, seed=seed, docConcentration=[max(50 // k, 1) + 0.0], topicConcentration=0.1, optimizer="online").fit(counted.transform(docs).persist())
     names = F.array(*(F.lit(w) for w in counted.vocabulary)) if counted.vocabulary else F.array().cast("array<string>")
     rows = model.describeTopics(words).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t"))
     return rows.select("topic", F.get(names, F.col("t.termIndices")).alias("word"), F.col("t.termWeights").alias("weight"))

@@ -106,6 +106,21 @@ def stumps(hist: DataFrame) -> DataFrame:
     return best.select("feature", "b.*")
 
 
+def stump_gain(hist: DataFrame, stumps: DataFrame) -> DataFrame:
+    """feature and gain: the information that a stump's cut brings, values on the cut below it."""
+    side = (F.col("q") > F.col("cut")).cast("int").alias("side")
+    parts = hist.join(stumps.select("feature", "cut"), "feature").groupBy("feature", side).agg(F.sum("w0").alias("a"), F.sum("w1").alias("b"))
+    sums = parts.groupBy("feature").agg(F.sum(entropy_weight(F.col("a"), F.col("b"))).alias("inner"), F.sum("a").alias("t0"), F.sum("b").alias("t1"))
+    return sums.select("feature", ((entropy_weight(F.col("t0"), F.col("t1")) - F.col("inner")) / (F.col("t0") + F.col("t1"))).alias("gain"))
+
+
+def interval_entropy(hist: DataFrame, cuts: DataFrame) -> DataFrame:
+    """feature and entropy, in bits, that is left once values are told apart by cuts(feature, cuts) only."""
+    rows = hist.join(cuts.select("feature", "cuts"), "feature").groupBy("feature", interval_of(F.col("q"), F.col("cuts")).alias("interval"))
+    parts = rows.agg(F.sum("w0").alias("a"), F.sum("w1").alias("b"))
+    return parts.groupBy("feature").agg((F.sum(entropy_weight(F.col("a"), F.col("b"))) / F.sum(F.col("a") + F.col("b"))).alias("entropy"))
+
+
 def mdlp_cuts(rows: list[tuple[int, float, float]], recursive: bool = True, first: bool = True) -> list[int]:
     """Cut points of one column by Fayyad and Irani (1993): the best split, always taken once, then both halves while the
     gain pays for its description. rows: (q, w0, w1) by q."""
@@ -162,6 +177,15 @@ def interval_votes(hist: DataFrame, cuts: DataFrame) -> DataFrame:
     return rows.agg(F.signum(F.sum("w1") - F.sum("w0")).cast("int").alias("vote"))
 
 
+def interval_classified(features: DataFrame, docs: DataFrame, feature: str, cuts: DataFrame, votes: DataFrame) -> DataFrame:
+    """doc_id and predicted of docs(doc_id) by one feature's intervals, an absent value as 0 and no vote as false."""
+    own = cuts.where(F.col("feature") == feature).select("cuts")
+    value = docs.select("doc_id").join(features.where(F.col("feature") == feature).select("doc_id", "value"), "doc_id", "left")
+    placed = value.crossJoin(F.broadcast(own)).select("doc_id", interval_of(quantised(F.coalesce("value", F.lit(0.0))), F.col("cuts")).alias("interval"))  # one row of cuts
+    said = votes.where(F.col("feature") == feature).select("interval", "vote")
+    return placed.join(said, "interval", "left").select("doc_id", F.coalesce(F.col("vote") > 0, F.lit(False)).alias("predicted"))
+
+
 def relevance_report(features: DataFrame, labels: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
     """Per feature: contributions of both labels, purities and a description, by the first contribution descending."""
     hist = value_histogram(features, labels)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.operators import relevance as R
+from lexloom.session import stored
 
 
 def best(scores: DataFrame, n: int, by: str = "score") -> DataFrame:
@@ -34,11 +37,10 @@ def rejected(features: DataFrame, chosen: DataFrame) -> DataFrame:
 def ada_boost(features: DataFrame, labels: DataFrame, rounds: int = 10, candidates: int = 10) -> list[tuple[str, float]]:
     """Features picked by AdaBoost over stumps, with their weights. Each round ranks stumps by weighted loss among the
     `candidates` of highest weighted gain, then raises the weight of what the best one misses."""
-    import math
-
+    features = stored(features.select("doc_id", "feature", "value"), "boost-features")  # every round reads it
     # document weights are a column that each round recomputes from labels; only one stump a round reaches the driver
     total = labels.count()
-    weights = labels.select("doc_id", "label", F.lit(1.0 / max(total, 1)).alias("weight")).checkpoint()
+    weights = stored(labels.select("doc_id", "label", F.lit(1.0 / max(total, 1)).alias("weight")), "boost-weights")
     chosen: list[tuple[str, float]] = []
     for _ in range(rounds):
         hist = R.value_histogram(features, weights)
@@ -56,5 +58,5 @@ def ada_boost(features: DataFrame, labels: DataFrame, rounds: int = 10, candidat
         said = (high == F.lit(stump.high_positive)).cast("int")
         moved = weights.join(own, "doc_id", "left").select("doc_id", "label", (F.col("weight") * F.when(said == F.col("label"), math.exp(-alpha)).otherwise(math.exp(alpha))).alias("weight"))
         norm = moved.agg(F.sum("weight")).head()[0]
-        weights = moved.withColumn("weight", F.col("weight") / norm).checkpoint()
+        weights = stored(moved.withColumn("weight", F.col("weight") / norm), "boost-weights")
     return chosen

@@ -1,7 +1,7 @@
 """Registered queries over the reference feature operators, each with equal SQL where SQL can say it.
 
 Fixtures: body is documents.text; classes are lang_<lang>, quality and toxic; documents with doc_id % 5 <> 0 train; embeddings
-serve as term vectors through the rank of a token by corpus count; benchmark items serve as concept articles.
+serve as term vectors, dealt to tokens by MD5 so that half of the tokens have none; benchmark items serve as concept articles.
 """
 
 from __future__ import annotations
@@ -13,14 +13,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
+from lexloom.functions.tags import tag_rows
 from lexloom.operators import clusters as C
 from lexloom.operators import corpus as D
 from lexloom.operators import features as G
 from lexloom.operators import learn as L
 from lexloom.operators import relevance as R
 from lexloom.operators import selectors as S
-from lexloom.session import table
+from lexloom.plans import config
+from lexloom.session import shared_path, stored, table
 from lexloom.sources import readers
+from lexloom.streaming import scorer
 
 STOP = "the of and to in de la que le el der die und".split()
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,12 +88,11 @@ def dimensions(spark, sf):
 
 
 def term_vectors(spark, sf):
-    counts = G.corpus_counts(tokens(spark, sf))
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-    # as many terms as there are vectors: a top-n by count before any numbering
-    top = counts.orderBy(F.desc("n"), "token").limit(500)
-    ranked = top.withColumn("vec_id", F.row_number().over(W.orderBy(F.desc("n"), "token")).cast("long") - 1)
-    return ranked.join(e, "vec_id").select(F.col("token").alias("term"), "vec")
+    slots = F.lit(2 * e.count())
+    terms = tokens(spark, sf).select(F.col("token").alias("term")).distinct()
+    slot = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % slots
+    return terms.withColumn("vec_id", slot).join(e, "vec_id").select("term", "vec")
 
 
 def articles(spark, sf):
@@ -227,8 +229,7 @@ def _(spark, sf):
 
 # embeddings
 
-_TERMS = f"""{TOK}, ranked AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS vec_id FROM tok GROUP BY token QUALIFY vec_id < 500),
-terms AS (SELECT token, embedding FROM ranked JOIN embeddings USING (vec_id))"""
+_TERMS = f"""{TOK}, terms AS (SELECT token, embedding FROM (SELECT DISTINCT token, ('0x' || substr(md5(token), 1, 8))::BIGINT % (SELECT 2 * count(*) FROM embeddings) AS vec_id FROM tok) JOIN embeddings USING (vec_id))"""
 
 
 @query("w2v_doc_mean", f"""WITH {_TERMS}, total AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id),
@@ -399,6 +400,30 @@ def _(spark, sf):
     return R.stumps(R.value_histogram(labelled_bow(spark, sf), quality_labels(spark, sf)))
 
 
+@query("stump_gain", f"""WITH {SPLIT}, s AS (SELECT feature, cut FROM (SELECT feature, q, cut, least(l1 + t0 - l0, l0 + t1 - l1) AS loss FROM gains) QUALIFY row_number() OVER (PARTITION BY feature ORDER BY loss, q) = 1),
+p AS (SELECT feature, sum(w0) AS a, sum(w1) AS b FROM hist JOIN s USING (feature) GROUP BY feature, q > cut), z AS (SELECT feature, sum({_h('a', 'b')}) AS inn, sum(a) AS t0, sum(b) AS t1 FROM p GROUP BY feature)
+SELECT feature, round(({_h('t0', 't1')} - inn) / (t0 + t1), 6) AS gain FROM z""")
+def _(spark, sf):
+    hist, _ = _splits(spark, sf)
+    return R.stump_gain(hist, R.stumps(hist)).select("feature", F.round("gain", 6).alias("gain"))
+
+
+@query("interval_entropy", f"""WITH {SPLIT}, p AS (SELECT feature, sum(w0) AS a, sum(w1) AS b FROM hist JOIN split USING (feature) GROUP BY feature, q > cut)
+SELECT feature, round(sum({_h('a', 'b')}) / sum(a + b), 6) AS entropy FROM p GROUP BY feature""")
+def _(spark, sf):
+    hist, splits = _splits(spark, sf)
+    return R.interval_entropy(hist, splits.select("feature", F.array("cut").alias("cuts"))).select("feature", F.round("entropy", 6).alias("entropy"))
+
+
+@query("interval_classified", f"""WITH {SPLIT}, side AS (SELECT q > cut AS up, sum(w1) > sum(w0) AS pos FROM hist JOIN split USING (feature) WHERE feature = 'that' GROUP BY ALL),
+v AS (SELECT d.doc_id, coalesce(value, 0) AS value FROM documents d LEFT JOIN (SELECT * FROM bow WHERE feature = 'that') b USING (doc_id))
+SELECT doc_id, coalesce(pos, false) AS predicted FROM v, (SELECT cut FROM split WHERE feature = 'that') LEFT JOIN side ON up = (trunc(value * 1000000)::BIGINT > cut)""")
+def _(spark, sf):
+    hist, splits = _splits(spark, sf)
+    cuts = splits.select("feature", F.array("cut").alias("cuts"))
+    return R.interval_classified(bow(spark, sf), docs(spark, sf), "that", cuts, R.interval_votes(hist, cuts))
+
+
 @query("interval_votes", f"WITH {SPLIT}, {_SIDES.replace('GROUP BY feature, q > cut', 'GROUP BY feature, q > cut').replace('SELECT feature, sum', 'SELECT feature, (q > cut)::INTEGER AS interval, sum')} SELECT feature, interval, sign(b - a)::INTEGER AS vote FROM sides")
 def _(spark, sf):
     hist, splits = _splits(spark, sf)
@@ -499,8 +524,8 @@ def _points(spark, sf):
 
 @query("nearest_centroid", f"""WITH dims AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS x FROM (SELECT *, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)),
 c AS (SELECT label AS cluster_id, i, avg(x) AS c FROM dims GROUP BY ALL),
-d AS (SELECT vec_id AS id, cluster_id, round(sum((x - c) * (x - c)), 4) AS distance FROM dims JOIN c USING (i) GROUP BY ALL)
-SELECT id, cluster_id, distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, cluster_id) = 1""")
+d AS (SELECT vec_id AS id, cluster_id, round(sum((x - c) * (x - c)), 9) AS distance FROM dims JOIN c USING (i) GROUP BY ALL)
+SELECT id, cluster_id, round(distance, 4) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, cluster_id) = 1""")
 def _(spark, sf):
     p = _points(spark, sf)
     dims = p.select(F.col("label").alias("cluster_id"), F.posexplode("vec").alias("d", "x")).groupBy("cluster_id", "d").agg(F.avg("x").alias("c"))
@@ -613,6 +638,14 @@ def _(spark, sf):
     return L.libsvm_lines(y, b, L.vocabulary(best))
 
 
+@query("sparse_rows", f"""WITH {SPLIT}, {_TOP}, v AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS idx FROM top)
+SELECT doc_id, string_agg(idx || '=' || value::VARCHAR, ',' ORDER BY idx) AS cells FROM bow JOIN v USING (feature) GROUP BY doc_id""")
+def _(spark, sf):
+    b, _, best = _chosen(spark, sf, 100)
+    rows = L.sparse_rows(bow(spark, sf), L.vocabulary(best))
+    return rows.select("doc_id", F.array_join(F.transform("cells", lambda c: F.concat(c["idx"].cast("string"), F.lit("="), c["value"].cast("string"))), ",").alias("cells"))
+
+
 @query("dense_rows", f"""WITH {BOW}, {LAB} SELECT l.doc_id, CASE WHEN label = 1 THEN 'positive' ELSE 'negative' END AS __target, coalesce(sum(value) FILTER (feature = 'that'), 0)::DOUBLE AS "that", coalesce(sum(value) FILTER (feature = 'this'), 0)::DOUBLE AS "this"
 FROM lab l LEFT JOIN bow USING (doc_id) GROUP BY ALL""")
 def _(spark, sf):
@@ -694,6 +727,64 @@ def _(spark, sf):
 
 
 
+@query("tag_tree", """SELECT * FROM (VALUES (1, 0, '/r', 'x', ''), (1, 1, '/r/a', NULL, '1 < 2 & 3'), (1, 2, '/r/b', NULL, ''), (1, 3, '/r/b/a', NULL, 'A'), (2, 0, '/r', NULL, 'alone')) t(id, position, path, k, content)""")
+def _(spark, sf):
+    rows = [(1, '<!DOCTYPE r><r k="x"> <a> 1 &lt; 2 &amp; 3 </a><b><a>&#65;</a></b></r>'), (2, "<r>alone</r>")]
+    found = tag_rows(spark.createDataFrame(rows, "id long, value string"), "id", "value")
+    return found.select(F.col("id").cast("int").alias("id"), "position", "path", F.try_element_at("attributes", F.lit("k")).alias("k"), "content")
+
+
+# experiments and streams
+
+_CONFIG = {
+    "experiment": {"RepeatedExperiment": "false"},
+    "source": None,
+    "generators": [
+        {"class": "TfidfFeatureModifier", "name": "weights", "values": {"SourceFeatureGenerator": ["bow"], "SourceFeatureSet": ["bow"], "Scheme": ["ltc"]}},
+        {"class": "BOWFeatureGenerator", "name": "bow", "values": {"SourceFeatureName": ["source_text"], "CountTreshhold": ["3"]}},
+        {"class": "ESAFeatureGenerator", "name": "esa", "values": {"SourceFeatureName": ["source_text"], "Categories": ["true"]}},
+    ],
+    "selectors": [
+        {"class": "InfoGainFeatureSelector", "name": "words", "values": {"SourceFeatureSet": ["bow"], "KeepNFeatures": ["200"]}},
+        {"class": "PosNegFeatureSelector", "name": "concepts", "values": {"SourceFeatureSet": ["esa", "esacats"], "KeepNFeatures": ["20"], "PosNeg": ["POS"]}},
+    ],
+}
+
+
+def experiment(spark, sf):
+    """The configured experiment over the documents with a quality label."""
+    known = table(spark, sf, "labels").where("quality is not null").select("doc_id")
+    documents = docs(spark, sf).select("doc_id", "text", (F.col("doc_id") % 5 != 0).alias("is_training")).join(known, "doc_id", "left_semi").join(classes(spark, sf), "doc_id")
+    return config.experiment(spark, _CONFIG, documents.persist(), {"articles": articles(spark, sf), "category_links": category_links(spark, sf)})
+
+
+@query("experiment_topic")
+def _(spark, sf):
+    return experiment(spark, sf).tested("quality")
+
+
+@query("experiment_report")
+def _(spark, sf):
+    e = experiment(spark, sf)
+    return e.report(e.processed(), "quality")
+
+
+@query("stream_scores", rf"""SELECT d.doc_id, coalesce(sum((length(token) % 7)::DOUBLE), 0) AS score FROM documents d LEFT JOIN (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\W+'), lambda t: t <> '')) AS token FROM documents) t USING (doc_id) GROUP BY d.doc_id""")
+def _(spark, sf):
+    d = docs(spark, sf).select("doc_id", "text")
+    weights = X.exploded_tokens(d).select(F.col("token").alias("feature")).distinct().withColumn("weight", (F.char_length("feature") % 7).cast("double"))
+    path = shared_path(spark, "stream-scores")
+    stream = scorer.stream_table(spark, f"{sf}/documents.parquet*", docs(spark, sf).schema)
+    scorer.score_stream(stream, stored(weights, "stream-weights"), path, shared_path(spark, "stream-state"), once=True).awaitTermination()
+    return spark.read.schema("doc_id long, score double").parquet(path).select("doc_id", "score")
+
+
+@query("event_windows", "SELECT event_type, epoch(date_trunc('hour', ts))::BIGINT AS hour, count(*) AS n FROM events GROUP BY ALL")
+def _(spark, sf):
+    rows = scorer.windowed_counts(table(spark, sf, "events"), "ts", "event_type")
+    return rows.select("event_type", F.unix_seconds(F.col("window.start").cast("timestamp")).alias("hour"), "n")
+
+
 @query("html_titles", "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Used only where the session names no shared folder, as in local tests.
+LOCAL_SHARED = "file:///tmp/checkpoints/lexloom"
+
 
 def local_session(cpus: int | str = "*", name: str = "lexloom", partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
@@ -22,3 +27,16 @@ def local_session(cpus: int | str = "*", name: str = "lexloom", partitions: int
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the fixture tables, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share, which the cluster names in spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder once and read back: lineage ends in files that outlive executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
