@@ -70,8 +70,12 @@ def small_batches(spark: SparkSession, rows: int = 1024, size: str = "16m") -> N
             pass
 
 
-def as_id(column: str | Column) -> Column:
-    return F.col(column) if isinstance(column, str) else column
+def fresh(name: str, df: DataFrame) -> str:
+    """name, lengthened until no column of df has it: what an operator adds cannot clash with what a table brings."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def spaced(text: Column) -> Column:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import stored
+from lexloom.llm.common import fresh, stored
 
 #: Code points between linked parts at most.
 SCOPE = 256
@@ -100,9 +100,10 @@ def hits(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
 
 def _keyed(left: DataFrame, right: DataFrame) -> DataFrame:
     """left with the columns of right's row of the same (doc_id, text_key), if there is one."""
-    right = right.withColumnsRenamed({"doc_id": "key_doc_id", "text_key": "key_text"})
-    on = F.col("doc_id").eqNullSafe(F.col("key_doc_id")) & F.col("text_key").eqNullSafe(F.col("key_text"))
-    return left.join(right, on, "left").drop("key_doc_id", "key_text")
+    doc, key = fresh("key_doc_id", left), fresh("key_text", left)
+    right = right.withColumnsRenamed({"doc_id": doc, "text_key": key})
+    on = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("text_key").eqNullSafe(F.col(key))
+    return left.join(right, on, "left").drop(doc, key)
 
 
 def secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:

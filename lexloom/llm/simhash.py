@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import small_batches, stored
+from lexloom.llm.common import fresh, small_batches, stored
 from lexloom.llm.components import components
 
 SEED, RADIUS, SHINGLE = 42, 2, 3
@@ -162,6 +162,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) ->
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
     """docs with one document of each component: the one with the smallest doc_id; a repeated row stays once."""
-    kept = near_duplicates(docs, radius, k).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    name = fresh("kept_id", docs)
+    kept = near_duplicates(docs, radius, k).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
     return rows.dropDuplicates(["doc_id"])
