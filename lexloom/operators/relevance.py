@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -150,20 +152,28 @@ def mdlp_cuts(rows: list[tuple[int, float, float]], recursive: bool = True, firs
 
 
 def mdlp(hist: DataFrame) -> DataFrame:
-    """feature, ig and cuts of the recursive discretisation; one group is one column's histogram, bounded by its distinct values."""
+    """feature, ig and cuts of the recursive discretisation. A row of the kernel's input is one column's histogram, bounded by
+    its distinct quantised values; columns go through in Arrow batches, as one pandas call each would cost more than its work."""
 
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(group.q.tolist(), group.w0.tolist(), group.w1.tolist()))
-        cuts = mdlp_cuts(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = lambda a, b: sum(-x * math.log2(x / (a + b)) for x in (a, b) if x > 0)
-        t0, t1 = sum(r[1] for r in rows), sum(r[2] for r in rows)
-        inner, lo = 0.0, -math.inf
-        for hi in [*cuts, math.inf]:
-            inner += h(sum(r[1] for r in rows if lo < r[0] <= hi), sum(r[2] for r in rows if lo < r[0] <= hi))
-            lo = hi
-        return pd.DataFrame({"feature": [group.feature.iloc[0]], "ig": [(h(t0, t1) - inner) / (t0 + t1)], "cuts": [cuts]})
-
-    return hist.groupBy("feature").applyInPandas(kernel, "feature string, ig double, cuts array<long>")
+        for batch in batches:
+            gains, all_cuts = [], []
+            for cells in batch.column(1).to_pylist():
+                rows = [(c["q"], c["w0"], c["w1"]) for c in cells]
+                cuts = mdlp_cuts(rows)
+                parts = [[0.0, 0.0] for _ in range(len(cuts) + 1)]
+                for q, w0, w1 in rows:
+                    part = parts[bisect_left(cuts, q)]  # a value on a cut belongs below it
+                    part[0] += w0
+                    part[1] += w1
+                t0, t1 = sum(p[0] for p in parts), sum(p[1] for p in parts)
+                gains.append((h(t0, t1) - sum(h(*p) for p in parts)) / (t0 + t1))
+                all_cuts.append(cuts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gains, pa.float64()), pa.array(all_cuts, pa.list_(pa.int64()))], ["feature", "ig", "cuts"])
+
+    columns = hist.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("q", "w0", "w1"))).alias("rows"))
+    return columns.mapInArrow(run, "feature string, ig double, cuts array<long>")
 
 
 def interval_of(q: Column, cuts: Column) -> Column:
