@@ -234,9 +234,11 @@ _TERMS = f"""{TOK}, terms AS (SELECT token, embedding FROM (SELECT DISTINCT toke
 
 @query("w2v_doc_mean", f"""WITH {_TERMS}, total AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id),
 x AS (SELECT doc_id, (i - 1)::VARCHAR AS feature, sum(embedding[i]::DOUBLE * c) AS s FROM (SELECT doc_id, c, embedding, unnest(generate_series(1, 64)) AS i FROM (SELECT doc_id, token, count(*) AS c FROM tok GROUP BY ALL) JOIN terms USING (token)) GROUP BY ALL)
-SELECT doc_id, feature, round(s / n, 6) AS value FROM x JOIN total USING (doc_id)""")
+SELECT doc_id, feature, CASE WHEN round(s / n, 6) = 0 THEN 0.0::DOUBLE ELSE round(s / n, 6) END AS value FROM x JOIN total USING (doc_id)""")
 def _(spark, sf):
-    return G.embedding_means(tokens(spark, sf), term_vectors(spark, sf)).select("doc_id", "feature", F.round("value", 6).alias("value"))
+    value = F.round("value", 6)
+    unsigned = F.when(value == 0, 0.0).otherwise(value)  # negative zero as zero
+    return G.embedding_means(tokens(spark, sf), term_vectors(spark, sf)).select("doc_id", "feature", unsigned.alias("value"))
 
 
 @query("emb_dim_stats", f"WITH {_DIMS} SELECT feature::INTEGER AS dim, round(avg(value), 6) AS mean, round(sqrt(var_pop(value) * count(*)), 6) AS dev FROM dims GROUP BY feature")
