@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, in Spark SQL functions only.
 
 A rule is a cheap predicate over measured columns of a text. The cascade times every rule on a bounded sample of the
-documents, estimates the share it rejects, and orders the rules by rejection per cost; a CASE then stops at the first
+documents (Bernoulli draws of SAMPLE rows on average), estimates the share it rejects, and orders the rules by rejection per cost; a CASE then stops at the first
 rule that rejects a document. The order decides only how soon a document is given up, never whether: a document is kept
 if no rule rejects it, so every order keeps the same documents.
 
@@ -26,7 +26,7 @@ from lexloom.llm.common import spaced
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Rows of the sample on which rules are timed and their selectivity is estimated.
+#: Rows, on average, of the sample on which rules are timed and their selectivity is estimated.
 SAMPLE = 2000
 
 
@@ -119,7 +119,9 @@ def cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int =
     """docs with the q_ measures, base_failed and failed_rule: the first rule of the estimated order that rejects, or null."""
     rules = default_rules() if rules is None else rules
     rows = measured(docs)
-    plan = ordered(rules, measured(docs.limit(sample_rows)))
+    # drawn row by row: a limit would send sample_rows rows of every partition to one task
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    plan = ordered(rules, measured(docs.sample(share, seed=1)))
     verdict = None
     for rule in plan:
         hit = F.coalesce(rule.rejects, F.lit(False))
