@@ -1,4 +1,8 @@
-"""Experiments declared in XML or as dictionaries of the same names; classes are looked up in a registry, never imported by name."""
+"""Experiments declared in XML or as dictionaries of the same names.
+
+Fixed values: element and class names are those of existing configuration files, misspelt ones included; of a class only the
+last part of its dotted name counts. Classes are matched against the names below and never imported by name.
+"""
 
 from __future__ import annotations
 

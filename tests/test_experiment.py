@@ -3,7 +3,7 @@ import pytest
 from lexloom.plans import config
 from lexloom.plans import experiment as E
 
-XML = """<FeatGen>
+XML = """<Config>
 <Experiment><RepeatedExperiment>false</RepeatedExperiment><BestOf>2</BestOf></Experiment>
 <DocumentSource class="any.SimpleDocumentSource" name="source"><Filename>{path}</Filename></DocumentSource>
 <Generators>
@@ -11,7 +11,7 @@ XML = """<FeatGen>
  <FeatureGenerator class="any.BOWFeatureGenerator" name="words"><SourceFeatureGenerator>source</SourceFeatureGenerator><SourceFeatureName>source_body</SourceFeatureName><MaxNGram>1</MaxNGram><CountTreshhold>1</CountTreshhold></FeatureGenerator>
 </Generators>
 <FeatureSelectors><FeatureSelector class="any.InfoGainFeatureSelector" name="s"><SourceFeatureSet>words</SourceFeatureSet><KeepNFeatures>5</KeepNFeatures></FeatureSelector></FeatureSelectors>
-</FeatGen>"""
+</Config>"""
 
 
 def test_configured_experiment(spark, tmp_path):
