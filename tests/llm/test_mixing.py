@@ -50,15 +50,16 @@ def test_taken_words_come_near_targets(spark):
 
 
 def test_inclusion_follows_the_odds(spark):
-    docs = spark.createDataFrame([(i, "w", "a") for i in range(4000)], "doc_id long, text string, source string")
     from pyspark.sql import functions as F
 
-    slim = mixing.ranked(docs, F.lit(1), 3, weight=F.when(F.col("doc_id") < 1000, 3.0).otherwise(1.0))
-    plan = mixing.plan(slim.persist(), max_copies=3)
-    assert plan.head().whole == 1  # one source takes itself whole
-    half = plan.withColumns({"whole": F.lit(0).cast("long"), "left": F.lit(1000.0)}).select(plan.columns)
-    z = mixing.copies(slim, half)
-    assert z.count() == 4000
+    # equal sources of 3000 words get 1500, 3000 and 4500; within the first, even ids weigh twice as much as odd ones
+    docs = spark.createDataFrame([(i, "abc"[i // 3000]) for i in range(9000)], "doc_id long, source string")
+    slim = mixing.ranked(docs, F.lit(1), 3, weight=F.when(F.col("doc_id") % 2 == 0, 2.0).otherwise(1.0)).persist()
+    rows = mixing.copies(slim, mixing.plan(slim)).collect()
+    first = [r for r in rows if r.source == "a"]
+    assert sum(r.copies for r in first) == 1500
+    assert sum(r.copies for r in first if r.doc_id % 2 == 0) == pytest.approx(1000, abs=75)
+    assert {r.copies for r in rows if r.source == "b"} == {1} and {r.copies for r in rows if r.source == "c"} == {1, 2}
 
 
 def test_odd_rows(spark, odd, empty):
