@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in local tests.
-LOCAL_SCRATCH = "file:///tmp/checkpoints/lexloom"
+from lexloom.session import shared_path
 
 #: One word: a run without space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,24 +38,32 @@ class Memory(dict):
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that the cluster names in spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage ends in files that outlive executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def drop_path(spark: SparkSession, name: str) -> None:
+    """Remove a folder of the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_stored(df: DataFrame) -> None:
-    """Remove the scratch files behind a stored() frame that no later step reads."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+    """Remove the scratch files behind what stored() returned, when no later step reads them."""
+    drop_path(df.sparkSession, df.stored_path)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of a whole row, but for columns that hold maps; tells rows of equal ids apart."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and kind != "variant"))
 
 
 def small_batches(spark: SparkSession, rows: int = 1024, size: str = "16m") -> None:

@@ -13,9 +13,9 @@ The tree meets its probes by partition rather than by broadcast: trees over all
 Components. Each task joins the links of its shards in a local forest, then star steps join the forests of all tasks.
 Copies share a fingerprint and are counted once; they never form pairs.
 
-Defined results: a null or empty text has fingerprint 0 and is linked like any other; repeated rows are all returned; a
-null doc_id never is the smallest, a component of nulls only has a null id; an empty table gives an empty result;
-further columns are ignored.
+Defined results: a null or empty text has fingerprint 0 and is linked like any other; repeated rows are all labelled and stay
+once; rows of one id with unlike texts are rows of their own; a null doc_id never is the smallest, a component of nulls only
+has a null id and keeps one row; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import fresh, small_batches, stored
+from lexloom.llm.common import drop_stored, fresh, row_hash, small_batches, stored
 from lexloom.llm.components import components
 
 SEED, RADIUS, SHINGLE = 42, 2, 3
@@ -54,15 +54,15 @@ def fingerprint(text: bytes | None, k: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint's 64 bits as a signed long."""
+    """doc_id, row_key (a hash of the whole row) and fp, the fingerprint's 64 bits as a signed long."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t, k) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, k) for t in batch.column(2).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], ["doc_id", "row_key", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", row_hash(docs).alias("row_key"), "text").mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 def bk_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -147,22 +147,45 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _components(marked: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, root), written, of every distinct fingerprint of marked(fp, ...), and what to drop in the end."""
+    distinct = stored(marked.select("fp").distinct(), "simhash-distinct")
+    joined = components(fingerprint_links(distinct, radius))
+    named = distinct.join(joined, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("root", "fp").alias("root"))
+    return stored(named, "simhash-roots"), distinct
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
     """doc_id, fp (signed long) and component_id, the smallest doc_id that links reach, of every document."""
     marked = stored(fingerprints(docs, k), "simhash")
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    edges = fingerprint_links(distinct.select("fp"), radius)
-    joined = components(edges)
-    named = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", "root")
-    named = stored(named.withColumn("root", F.coalesce("root", "fp")), "simhash-roots")
-    ids = stored(named.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id")), "simhash-ids")
-    labels = stored(named.join(ids, F.col("root") == F.col("of")).select(F.col("fp").alias("of_fp"), "component_id"), "simhash-labels")
+    roots, distinct = _components(marked, radius)
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = stored(least.join(roots, F.col("fp") == F.col("of_fp")).select("fp", "root", "least"), "simhash-least")
+    ids = least.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
+    labels = stored(least.join(ids, F.col("root") == F.col("of")).select(F.col("fp").alias("of_fp"), "component_id"), "simhash-labels")
+    for scratch in (distinct, roots, least):
+        drop_stored(scratch)
     return marked.join(labels, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id; a repeated row stays once."""
-    name = fresh("kept_id", docs)
-    kept = near_duplicates(docs, radius, k).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """docs with one row of each component: that of the smallest doc_id, nulls last, and then of the smallest row hash.
+
+    Rows are told apart by id and row hash, so rows of one id, or without an id, whose texts are unlike all stay. Texts move
+    once, to meet the hashes of the rows that stay; only rows that occur several times as they are meet again, to stay once.
+    """
+    marked = stored(fingerprints(docs, k), "simhash")
+    roots, distinct = _components(marked, radius)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    of_fp = marked.groupBy("fp").agg(first.alias("first"))
+    kept = of_fp.join(roots, F.col("fp") == F.col("of_fp")).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.row_key")
+    rows = marked.groupBy(F.col("doc_id").alias("m_doc_id"), F.col("row_key").alias("m_row_key")).agg(F.count("*").alias("copies"))
+    key, copies, doc_id = (fresh(c, docs) for c in ("row_key", "copies", "kept_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & (F.col("row_key") == F.col("m_row_key"))
+    kept = stored(kept.join(rows, same).select(F.col("doc_id").alias(doc_id), F.col("row_key").alias("kept_key"), F.col("copies").alias(copies)), "simhash-kept")
+    for scratch in (marked, distinct, roots):
+        drop_stored(scratch)
+    keyed = docs.withColumn(key, row_hash(docs))
+    found = keyed.join(kept.withColumnRenamed("kept_key", key + "_kept"), F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col(key) == F.col(key + "_kept")))
+    several = found.where(F.col(copies) > 1).dropDuplicates([doc_id, key])
+    return found.where(F.col(copies) == 1).union(several).select(*docs.columns)

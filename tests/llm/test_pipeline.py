@@ -1,4 +1,3 @@
-import hashlib
 import math
 import re
 import zlib
@@ -9,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from lexloom.llm import contracts, pieces, secrets, toxicity
-from tests.llm.test_mixing import water_level
+from tests.llm.test_mixing import plain_mix
 from tests.llm.test_secrets import plain as plain_secrets
 from tests.llm.test_simhash import plain_components, plain_fingerprint
 from tests.llm.test_toxicity import plain_segments
@@ -68,22 +67,6 @@ def masked(text):
     return "".join(out) + text[at:]
 
 
-def plain_mix(docs):
-    """doc_id to copies; docs: doc_id to (source, text)."""
-    size = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for d, (_, t) in docs.items()}
-    sources = sorted({s for s, _ in docs.values()})
-    total = {s: sum(size[d] for d in docs if docs[d][0] == s) for s in sources}
-    out = {}
-    for s, target in zip(sources, water_level([total[s] for s in sources])):
-        whole = math.floor(target / total[s]) if total[s] else 0
-        left, after = target - whole * total[s], 0
-        draw = lambda d: (int(hashlib.md5(f"7:{d}".encode()).hexdigest()[:12], 16), d)
-        for d in sorted((d for d in docs if docs[d][0] == s), key=draw):
-            after += size[d]
-            out[d] = whole + int(left > 0 and 2 * after - size[d] < 2 * left)
-    return out
-
-
 def test_run_equals_a_plain_version(spark, sf):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -93,7 +76,7 @@ def test_run_equals_a_plain_version(spark, sf):
     kept = [d for d, c in zip(kept, groups) if c == d]
     links = {r.doc_id for r in secrets.secrets(spark.read.parquet(f"{sf}/documents.parquet")).where("size(spans) > size(strong)").select("doc_id").collect()}
     text = {d: masked(docs[d].text or "") for d in kept}
-    copies = plain_mix({d: (docs[d].source, text[d]) for d in kept})
+    copies = dict(zip(kept, plain_mix([(d, docs[d].source, text[d]) for d in kept])))
     with open(contracts.PIECES, "rb") as f:
         model = pieces.Pieces(f.read())
     rows = corpus_pipeline.run(spark, sf).collect()

@@ -75,6 +75,21 @@ def test_chain_of_components(spark):
     assert got == {i: 1 for i in range(1, 61)} | {100: 100, 101: 100}
 
 
+def test_rows_with_null_or_equal_ids_are_not_lost(spark):
+    a, b, c, d = ("alpha beta gamma delta one two", "zeta eta theta iota kappa mu", "x1 x2 x3 x4 x5 x6", "y1 y2 y3 y4 y5 y6")
+    rows = [(None, a, "s"), (None, b, "s"), (3, c, "s"), (3, d, "s"), (3, d, "s"), (9, d, "t"), (None, a, "s"), (None, a, "t"), (4, d, "s")]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    assert len(kept) == 4 and {(r.doc_id, r.text) for r in kept} == {(None, a), (None, b), (3, c), (3, d)}
+    again = simhash.deduplicated(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string").repartition(2)).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, again))
+
+
+def test_one_row_stays_of_each_component(spark, sf, docs, texts):
+    ids = sorted(texts)
+    groups = plain_components([(d, plain_fingerprint(texts[d])) for d in ids])
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).select("doc_id").collect()) == sorted(set(groups))
+
+
 def test_odd_rows(spark, odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == 10
