@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +32,15 @@ from lexloom.llm.common import Memory, drop_stored, small_batches, stored
 
 #: Ids after which a row of blocks ends, at a document's end.
 ROW_IDS = 1 << 20
+#: Words and their ids that a worker keeps at most, but for one batch; words whose ids are gathered at once; texts of a batch.
+POOL_WORDS, POOL_IDS, GATHER, BATCH = 1_000_000, 1 << 23, 1 << 16, 3072
 
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PRETOKENS = regex.compile(_SPLIT).findall
 _ASCII_PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
 _ODD = regex.compile(r"[^\S ]|<\|").search
+#: Stands for the end of a text among words; no word holds a space.
+END = " "
 _encoders: dict[int, "TextEncoder"] = {}
 
 
@@ -46,12 +51,67 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class _Pool:
+    """Ids of words, laid end to end: a word's number, its place among the known ones, gives where its ids start and how many they
+    are. Forgets all when full."""
+
+    def __init__(self, learn, dtype: str):
+        self.learn, self.dtype = learn, np.dtype(dtype)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.n, self.used = 0, 0
+        self.starts, self.sizes, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, self.dtype)
+
+    def add(self, rows: list[bytes]) -> np.ndarray:
+        """Numbers of new rows of ids."""
+        data = np.frombuffer(b"".join(rows), self.dtype)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // self.dtype.itemsize
+        for name, need in (("starts", self.n + len(rows)), ("sizes", self.n + len(rows)), ("ids", self.used + len(data))):
+            old = getattr(self, name)
+            if need > len(old):
+                new = np.zeros(max(need, 2 * len(old)), old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
+        numbers = np.arange(self.n, self.n + len(rows))
+        self.starts[numbers], self.sizes[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.ids[self.used : self.used + len(data)] = data
+        self.n, self.used = self.n + len(rows), self.used + len(data)
+        return numbers
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Numbers of distinct words; new ones are learned."""
+        found = pc.index_in(words, value_set=self.known)
+        out = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if found.null_count:
+            new = words.filter(pc.is_null(found))
+            first = self.add([self.learn(w) for w in new.to_pylist()])[0]
+            out[out < 0] = np.arange(first, first + len(new))
+            self.known = pa.concat_arrays([self.known, new])
+        return out
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a row of words, and how many each word has."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, self.dtype)
+        for i in range(0, len(numbers), GATHER):
+            some, at = sizes[i : i + GATHER], int(ends[i] - sizes[i])
+            upto = ends[i : i + GATHER] - at
+            place = np.repeat(self.starts[numbers[i : i + GATHER]] - (upto - some), some)
+            place += np.arange(len(place))
+            out[at : at + len(place)] = self.ids[place]
+        return out, sizes
+
+
 class TextEncoder:
     """Encodes texts by a tokenizer of the tokenizers library, with ids of the narrowest of 16 and 32 bits.
 
     Where the tokenizer's file says that it drops white space and splits words by the usual pattern (no rule then crosses
-    white space), new words are normalised and split once, the library's model encodes new pretokens, and a text joins
-    its words' ids. Words with odd white space or special tokens, and all texts of other tokenizers, take the library's full path.
+    white space), a batch of texts is cut into words and dictionary-encoded by Arrow; each distinct word that is new is normalised and
+    split once, the library's model encodes new pretokens, and the ids of all words are gathered by their dictionary numbers.
+    Words with odd white space or special tokens, and all texts of other tokenizers, take the library's full path.
     """
 
     def __init__(self, spec: str, end_id: int | None = None):
@@ -66,7 +126,7 @@ class TextEncoder:
         self.model, self.code = self.tokenizer.model, "H" if self.dtype == "<u2" else "I"
         self.characters = _byte_characters()
         self._normal = self.tokenizer.normalizer.normalize_str if self.by_word else str
-        self.pretokens, self.words = Memory(self._pretoken), Memory(self._word)
+        self.pretokens, self.words = Memory(self._pretoken), _Pool(self._word, self.dtype)
 
     def _ids(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -76,27 +136,39 @@ class TextEncoder:
         return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        normal = word.lower() if word.isascii() else self._normal(word)
+        if word == END:
+            return self.suffix
+        # below U+0250 every character is in normal form C by itself and has one lower case
+        normal = word.lower() if word.isascii() or max(word) < "\u0250" else self._normal(word)
+        known = self.pretokens
         if normal.isalpha() and word.isalpha():  # by far the most
-            return self.pretokens[normal]
+            return known[normal]
         if _ODD(word):
             return self._ids(word)
-        known = self.pretokens
         if normal[:-1].isalpha() and normal[-1] in ",.":
             return known[normal[:-1]] + known[normal[-1]]
         return b"".join([known[p] for p in (_ASCII_PRETOKENS if normal.isascii() else _PRETOKENS)(normal)])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> pa.Array:
         """Little-endian ids of each text, and the end id."""
         if not self.by_word:
-            return [self._ids(t or "") + self.suffix for t in texts]
-        look, out = self.words.__getitem__, []
-        for t in texts:
-            words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else ()
-            out.append(b"".join(map(look, words)) + self.suffix)
-            self.words.age()
-            self.pretokens.age()
-        return out
+            return pa.array([self._ids(t or "") + self.suffix for t in texts.to_pylist()], pa.binary())
+        if self.words.n > POOL_WORDS or self.words.used > POOL_IDS:
+            self.words.forget()
+        self.pretokens.age()
+        # a mark between a letter or digit and white space is a pretoken of its own: words with and without it share their ids
+        texts = pc.replace_substring_regex(pc.fill_null(texts, ""), r"([\pL\pN])([,.])(\s)", r"\1 \2\3")
+        words = pc.ascii_split_whitespace(texts)
+        upto = words.offsets.to_numpy().astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        numbers = self.words.numbers(coded.dictionary)[coded.indices.to_numpy()]
+        upto -= upto[0]
+        if self.suffix:  # the end id is a word after the last of each text
+            numbers = np.insert(numbers, upto[1:], self.words.numbers(pa.array([END]))[0])
+            upto += np.arange(len(upto))
+        ids, sizes = self.words.gather(numbers)
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[upto] * ids.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
 
 
 def id_type(spec: str) -> str:
@@ -109,7 +181,7 @@ def encode_ids(docs: DataFrame, spec: str, end_id: int | None = None) -> DataFra
 
     spec is the tokenizer's file (of fixed size), which is broadcast: executors need no copy of it.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH)
     sent = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,8 +190,7 @@ def encode_ids(docs: DataFrame, spec: str, end_id: int | None = None) -> DataFra
             _encoders.clear()
             _encoders[key] = TextEncoder(sent.value, end_id)
         for batch in batches:
-            ids = _encoders[key].encode(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _encoders[key].encode(batch.column(1))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 

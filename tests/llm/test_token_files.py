@@ -2,6 +2,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -55,7 +56,7 @@ def test_too_many_symbols():
         huffman.code_lengths(np.ones(5, np.int64), 2)
 
 
-ODD = ["it's we'll I'M DON'T 'tis", "a b c\x1cd\x85e", "x<|endoftext|>y <|STARTOFTEXT|>", "é Å ẞ İ ǅ 𝔘 ﬁ", "3.14 1,000 ¼ ٣ ४", "…—«»!!! ???", "नमस्ते สวัสดี 你好 안녕", "​﻿­", "a_b-c/d", "'s 'S ' s", "\n\n \t"]
+ODD = ["ÀÉÎ ǅ Ɏ ȺȾ ẞ H̱ É É ŒÆ Σίσυφος ΣΣ","it's we'll I'M DON'T 'tis", "a b c\x1cd\x85e", "x<|endoftext|>y <|STARTOFTEXT|>", "é Å ẞ İ ǅ 𝔘 ﬁ", "3.14 1,000 ¼ ٣ ४", "…—«»!!! ???", "नमस्ते สวัสดี 你好 안녕", "​﻿­", "a_b-c/d", "'s 'S ' s", "\n\n \t"]
 
 
 def test_encoder_equals_the_library(texts):
@@ -63,8 +64,22 @@ def test_encoder_equals_the_library(texts):
         spec = f.read()
     plain, own = Tokenizer.from_str(spec), token_files.TextEncoder(spec, 1)
     assert own.by_word
-    for t in [*ODD, *texts.values()]:
-        assert np.frombuffer(own.encode([t])[0], own.dtype).tolist() == [*plain.encode(t, add_special_tokens=False).ids, 1]
+    every = [*ODD, None, "", " ", *texts.values(), "x" * 5000, *ODD]
+    expected = [[*plain.encode(t or "", add_special_tokens=False).ids, 1] for t in every]
+    column = pa.array(["cut off", *every], pa.string())[1:]  # a slice, as its offsets do not start at zero
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(column).to_pylist()] == expected
+    for t, ids in zip(every[:30], expected):
+        assert np.frombuffer(own.encode(pa.array([t], pa.string()))[0].as_py(), own.dtype).tolist() == ids
+
+
+def test_encoder_that_forgets(texts, monkeypatch):
+    monkeypatch.setattr(token_files, "POOL_WORDS", 50)
+    monkeypatch.setattr(token_files, "GATHER", 7)
+    with open(contracts.WORD_BPE, encoding="utf-8") as f:
+        own = token_files.TextEncoder(spec := f.read())
+    plain = Tokenizer.from_str(spec)
+    for t in list(texts.values())[:20]:
+        assert np.frombuffer(own.encode(pa.array([t]))[0].as_py(), own.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
 def _expected(rows):
