@@ -62,7 +62,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substrings.deduplicated(table(spark, sf_dir, "documents"))
     lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
-    return rows.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("shared").cast("int").alias("repeats_passage"))
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

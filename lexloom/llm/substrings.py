@@ -12,6 +12,10 @@ are induced by a scan of the first-byte buckets in ascending order. Adjacent win
 are repeats. An anchor with more than SHARD_CONTEXTS different contexts (a passage in very many surroundings) is
 not sorted in one place: its windows are dealt by the hash of all their bytes, one row a window, and counted.
 
+Passages. Beside the bytes, a document is marked that shares PASSAGE_WORDS or more words in a row with a different document, however few
+bytes they have. Word windows are dealt in the same way: by the smallest hash of PASSAGE_GRAM words within, contexts of the anchor
+counted, and only the windows of anchors with several different contexts compared by their own hashes.
+
 Defined results: a null text is empty; texts shorter than `length` lose nothing; repeated rows (equal doc_id and text) are copies of
 each other; overlapping repeats count; a null doc_id is an id like any other; further columns are ignored; an empty table gives an empty result.
 """
@@ -22,13 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import small_batches, stored
+from lexloom.llm.common import drop_stored, small_batches, stored
 
 LENGTH, GRAM = 400, 160
+#: Words in a row that make a passage, and of the strings by whose hashes they are dealt.
+PASSAGE_WORDS, PASSAGE_GRAM = 50, 20
 #: Bytes hashed at once; bytes of a shard text; different contexts of one anchor that share a shard.
 SEGMENT, SHARD_BYTES, SHARD_CONTEXTS = 1 << 20, 1 << 17, 512
 
@@ -52,7 +59,10 @@ def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     up, down = _power_tables()
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1]
+    return _mixed((sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -92,6 +102,54 @@ def occurrences(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.empty(0, np.int64) for _ in range(5))
 
 
+class _Words:
+    """Places and hashes of the words of a text: strings of words are equal if their bytes are, any white-space byte counting as a space."""
+
+    def __init__(self, text: bytes):
+        data = np.frombuffer(text, np.uint8)
+        space = (data == 32) | ((data >= 9) & (data <= 13))
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self.data = np.where(space, np.uint8(32), data)
+
+    def segments(self, words: int) -> Iterator[tuple[int, int]]:
+        """Runs (first word, end) that hold every window of `words` words once, in no more than SEGMENT bytes unless they are one window."""
+        i, n = 0, len(self.starts)
+        while i + words <= n:
+            j = max(int(np.searchsorted(self.ends, self.starts[i] + SEGMENT, "right")), i + words)
+            yield i, j
+            i = j - words + 1
+
+    def hashes(self, first: int, end: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the strings from word a to word b (inclusive), numbered within a segment."""
+        starts, ends = self.starts[first:end], self.ends[first:end]
+        base = starts[0]
+        data = self.data[base : ends[-1]]
+        if len(data) > SEGMENT:
+            return np.array([xxhash.xxh3_64_intdigest(data[starts[x] - base : ends[y] - base].tobytes()) for x, y in zip(a, b)], np.uint64)
+        up, down = _power_tables()
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        return _mixed((sums[ends[b] - base] - sums[starts[a] - base]) * down[starts[a] - base])
+
+
+def word_occurrences(text: bytes, words: int = PASSAGE_WORDS, gram: int = PASSAGE_GRAM) -> tuple[np.ndarray, ...]:
+    """(anchor hash, context hash, first window, number of windows) of a text's windows of words, each window numbered by its first word."""
+    own, parts = _Words(text), []
+    for first, end in own.segments(words):
+        at = np.arange(end - first - gram + 1)
+        hashes = own.hashes(first, end, at, at + gram - 1)
+        # equal hashes in a window go to the leftmost: the place takes the low bits
+        keys = (hashes & ~_PLACE) | at.astype(np.uint64)
+        place = (_window_min(keys, words - gram + 1) & _PLACE).astype(np.int64)
+        starts = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
+        count = np.diff(np.concatenate([starts, [len(place)]]))
+        anchor = place[starts]
+        context = own.hashes(first, end, starts, starts + count + words - 2) + (anchor - starts).astype(np.uint64)
+        parts.append((hashes[anchor].view(np.int64), context.view(np.int64), starts + first, count))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.empty(0, np.int64) for _ in range(4))
+
+
 def two_stage_order(data: bytes, depth: int) -> np.ndarray:
     """Suffix starts of data in order of their first `depth` bytes, by two-stage sorting."""
     t = np.frombuffer(data, np.uint8).astype(np.int64)
@@ -168,96 +226,143 @@ def _mark_rows(anchors: list[int], ctxs: list[int], starts: list[np.ndarray]) ->
 
 
 def _sorted_marks(contexts: DataFrame, length: int) -> DataFrame:
-    """Marks of the contexts (anchor, ctx, n, data) of anchors that fit a shard."""
+    """Marks of the contexts (anchor, ctx, n, copies, data) of anchors that fit a shard, but for those that repeat as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], tuple[bytes, int]] = {}
+        whole: set[tuple[int, int]] = set()
         size, last = 0, None
 
         def done() -> pa.RecordBatch:
-            keys = list(held)
-            return _mark_rows([a for a, _ in keys], [c for _, c in keys], shard_repeats(list(held.values()), length))
+            found = [(k, s) for k, s in zip(held, shard_repeats(list(held.values()), length)) if k not in whole]
+            return _mark_rows([a for (a, _), _ in found], [c for (_, c), _ in found], [s for _, s in found])
 
         for batch in batches:
-            for anchor, ctx, n, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for anchor, ctx, n, copies, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if anchor != last and size >= SHARD_BYTES:
                     yield done()
                     held, size = {}, 0
+                    whole.clear()
                 last = anchor
                 if (anchor, ctx) not in held:
                     held[anchor, ctx] = data, n
                     size += len(data)
+                if copies > 1:
+                    whole.add((anchor, ctx))
         if held:
             yield done()
 
-    dealt = contexts.select("anchor", "ctx", "n", "data").repartition("anchor").sortWithinPartitions("anchor")
+    dealt = contexts.select("anchor", "ctx", "n", "copies", "data").repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, _MARK)
 
 
-def _counted_marks(contexts: DataFrame, length: int) -> DataFrame:
-    """Marks of the contexts of all other anchors: one row a window, by a 128-bit hash of its bytes, counted."""
+def _counted_marks(contexts: DataFrame, length: int, scratch: list[DataFrame]) -> DataFrame:
+    """Marks of the contexts of all other anchors: one row a window, by a 128-bit hash of its bytes, counted. Contexts that repeat
+    as a whole only are partners of others; of the rest the windows that repeat are joined to runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, ctx, n, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for anchor, ctx, n, copies, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)]), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, anchor, np.int64)), pa.array(np.full(n, ctx, np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], ["anchor", "ctx", "first", "h", "g"]
-                )
+                cells = [np.full(n, anchor, np.int64), np.full(n, ctx, np.int64), np.arange(n, dtype=np.int32), digests[:, 0].copy(), digests[:, 1].copy(), np.full(n, copies > 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], ["anchor", "ctx", "first", "h", "g", "whole"])
 
     # one row a context: a repeated row must not count as another place
-    once = contexts.dropDuplicates(["anchor", "ctx"]).select("anchor", "ctx", "n", "data")
-    windows = stored(once.mapInArrow(run, "anchor long, ctx long, first int, h long, g long"), "windows")
-    twice = windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
-    return windows.join(stored(twice, "windows-twice"), ["h", "g"]).select("anchor", "ctx", "first", F.lit(1).alias("n"))
+    once = contexts.dropDuplicates(["anchor", "ctx"]).select("anchor", "ctx", "n", "copies", "data")
+    windows = stored(once.mapInArrow(run, "anchor long, ctx long, first int, h long, g long, whole boolean"), "windows")
+    twice = stored(windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"), "windows-twice")
+    scratch += [windows, twice]
+    hit = windows.where(~F.col("whole")).join(twice, ["h", "g"]).groupBy("anchor", "ctx").agg(F.array_sort(F.collect_list("first")).alias("at"))
+    starts = F.filter("at", lambda x, i: F.coalesce(F.get("at", i - 1) != x - 1, F.lit(True)))
+    ends = F.filter("at", lambda x, i: F.coalesce(F.get("at", i + 1) != x + 1, F.lit(True)))
+    runs = hit.select("anchor", "ctx", F.explode(F.arrays_zip(starts.alias("a"), ends.alias("b"))).alias("r"))
+    return runs.select("anchor", "ctx", F.col("r.a").alias("first"), (F.col("r.b") - F.col("r.a") + 1).alias("n"))
+
+
+_FOUND = {"doc_id": pa.int64(), "text_key": pa.int64(), "words": pa.bool_(), "anchor": pa.int64(), "ctx": pa.int64(), "start": pa.int64(), "n": pa.int32()}
+_FETCHED = {"words": pa.bool_(), "anchor": pa.int64(), "ctx": pa.int64(), "n": pa.int32(), "copies": pa.int64(), "contexts": pa.int64(), "low": pa.int64(), "high": pa.int64(), "data": pa.binary(), "hashes": pa.list_(pa.int64())}
+_DDL = {pa.int64(): "long", pa.bool_(): "boolean", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+
+
+def _ddl(kinds: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{c} {_DDL[k]}" for c, k in kinds.items())
+
+
+def _passages(contexts: DataFrame, fetched: DataFrame, scratch: list[DataFrame]) -> DataFrame:
+    """(anchor, ctx) of the word contexts that hold a window that a different document holds as well.
+
+    low and high are the least and greatest key of the documents with a context; they differ if several have it.
+    """
+    windows = fetched.where("words").select("anchor", "ctx", "low", "high", F.explode("hashes").alias("h"))
+    windows = stored(windows, "word-windows")
+    across = stored(windows.groupBy("h").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a <> b").select("h"), "word-windows-twice")
+    scratch += [windows, across]
+    some = windows.join(across, "h").select("anchor", "ctx")
+    return some.union(contexts.where("words and low <> high").select("anchor", "ctx")).distinct()
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, text_key (XXH64 of the text) and spans: array of (start, end) in bytes, of documents that repeat something.
-    Spans may overlap; their union is what repeats."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int = PASSAGE_WORDS, word_gram: int = PASSAGE_GRAM) -> DataFrame:
+    """doc_id, text_key (XXH64 of the text), spans: array of (start, end) in bytes, and shared, of documents that repeat something.
+    Spans may overlap; their union is what repeats. shared: whether the document holds a passage of `words` words that another has."""
     small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
-                if text is None or len(text) < length:
-                    continue
-                anchor, ctx, start, n, rel = occurrences(text, length, gram)
-                at = np.zeros(len(anchor), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at + i)), batch.column(1).take(pa.array(at + i)), pa.array(anchor), pa.array(ctx), pa.array(start), pa.array(n.astype(np.int32))], ["doc_id", "text_key", "anchor", "ctx", "start", "n"]
-                )
-
-    found = stored(keyed.mapInArrow(mark, "doc_id long, text_key long, anchor long, ctx long, start long, n int"), "occurrences")
-    place = F.struct("doc_id", "text_key", "start")
-    contexts = stored(found.groupBy("anchor", "ctx").agg(F.count("*").alias("copies"), F.min(place).alias("place"), F.first("n").alias("n")), "contexts")
-    several = stored(contexts.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1").withColumnRenamed("anchor", "of"), "several")
-    wanted = contexts.join(several, F.col("anchor") == F.col("of")).select("place.*", "anchor", "ctx", "n", "contexts")
-    per_doc = wanted.groupBy(F.col("doc_id").alias("w_doc_id"), F.col("text_key").alias("w_text_key")).agg(F.collect_list(F.struct("anchor", "ctx", "start", "n", "contexts")).alias("wanted"))
+                for by_words in (False, True):
+                    if text is None or (not by_words and len(text) < length):
+                        continue
+                    anchor, ctx, start, n = word_occurrences(text, words, word_gram) if by_words else occurrences(text, length, gram)[:4]
+                    at = pa.array(np.full(len(anchor), i))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.full(len(anchor), by_words)), pa.array(anchor), pa.array(ctx), pa.array(start), pa.array(n.astype(np.int32))], list(_FOUND))
+
+    found = stored(keyed.mapInArrow(mark, _ddl(_FOUND)), "occurrences")
+    place, key = F.struct("doc_id", "text_key", "start"), F.xxhash64("doc_id", "text_key")
+    contexts = stored(found.groupBy("words", "anchor", "ctx").agg(F.count("*").alias("copies"), F.min(place).alias("place"), F.first("n").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")), "contexts")
+    several = contexts.groupBy("words", "anchor").agg(F.count("*").alias("contexts"), F.min("low").alias("low"), F.max("high").alias("high"))
+    several = stored(several.where("contexts > 1 and (not words or low <> high)").select(F.col("words").alias("of_words"), F.col("anchor").alias("of"), "contexts"), "several")
+    wanted = contexts.join(several, (F.col("anchor") == F.col("of")) & (F.col("words") == F.col("of_words")))
+    asked = F.struct("words", "anchor", "ctx", "n", "copies", "contexts", "low", "high", F.col("place.start").alias("start"))
+    per_doc = wanted.groupBy(F.col("place.doc_id").alias("w_doc_id"), F.col("place.text_key").alias("w_text_key")).agg(F.collect_list(asked).alias("wanted"))
     on = F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & (F.col("text_key") == F.col("w_text_key"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, rows in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-                data = [text[r["start"] : r["start"] + r["n"] - 1 + length] for r in rows]
-                cells = [pa.array([r[c] for r in rows], k) for c, k in (("anchor", pa.int64()), ("ctx", pa.int64()), ("n", pa.int32()), ("contexts", pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*cells, pa.array(data, pa.binary())], ["anchor", "ctx", "n", "contexts", "data"])
-
-    fetched = keyed.join(per_doc, on).select("text", "wanted").mapInArrow(fetch, "anchor long, ctx long, n int, contexts long, data binary")
-    fetched = stored(fetched, "context-bytes")
-    full = contexts.where("copies > 1").select("anchor", "ctx", F.lit(0).alias("first"), "n")
-    marks = full.union(_sorted_marks(fetched.where(F.col("contexts") <= SHARD_CONTEXTS), length)).union(_counted_marks(fetched.where(F.col("contexts") > SHARD_CONTEXTS), length))
-    marks = stored(marks.select(F.col("anchor").alias("m_anchor"), F.col("ctx").alias("m_ctx"), "first", F.col("n").alias("run")), "marks")
-    hit = found.join(marks, (F.col("anchor") == F.col("m_anchor")) & (F.col("ctx") == F.col("m_ctx")))
+                data, hashes, own = [], [], None
+                for r in rows:
+                    a, n = r["start"], r["n"]
+                    if not r["words"]:
+                        data.append(text[a : a + n - 1 + length])
+                        hashes.append(None)
+                        continue
+                    own = own or _Words(text)
+                    at = np.arange(n)
+                    data.append(None)
+                    hashes.append(own.hashes(a, a + n - 1 + words, at, at + words - 1).view(np.int64))
+                cells = [pa.array([r[c] for r in rows], k) for c, k in list(_FETCHED.items())[:-2]]
+                yield pa.RecordBatch.from_arrays([*cells, pa.array(data, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], list(_FETCHED))
+
+    fetched = stored(keyed.join(per_doc, on).select("text", "wanted").mapInArrow(fetch, _ddl(_FETCHED)), "context-bytes")
+    scratch: list[DataFrame] = []
+    full = contexts.where("copies > 1 and not words").select("anchor", "ctx", F.lit(0).alias("first"), "n")
+    few, many = fetched.where(f"not words and contexts <= {SHARD_CONTEXTS}"), fetched.where(f"not words and contexts > {SHARD_CONTEXTS}")
+    marks = full.union(_sorted_marks(few, length)).union(_counted_marks(many, length, scratch)).withColumn("words", F.lit(False))
+    marks = marks.union(_passages(contexts, fetched, scratch).select("anchor", "ctx", F.lit(0), F.lit(1), F.lit(True)))
+    marks = stored(marks.select(F.col("words").alias("m_words"), F.col("anchor").alias("m_anchor"), F.col("ctx").alias("m_ctx"), "first", F.col("n").alias("run")), "marks")
+    hit = found.join(marks, (F.col("anchor") == F.col("m_anchor")) & (F.col("ctx") == F.col("m_ctx")) & (F.col("words") == F.col("m_words")))
     start = F.col("start") + F.col("first")
-    span = F.struct(start.alias("start"), (start + F.col("run") - 1 + length).alias("end"))
-    hit = stored(hit.select("doc_id", "text_key", span.alias("span")), "hits")
-    return hit.groupBy("doc_id", "text_key").agg(F.collect_list("span").alias("spans"))
+    span = F.when(~F.col("words"), F.struct(start.alias("start"), (start + F.col("run") - 1 + length).alias("end")))
+    hit = stored(hit.select("doc_id", "text_key", "words", span.alias("span")), "hits")
+    for old in (found, contexts, several, fetched, marks, *scratch):
+        drop_stored(old)
+    return hit.groupBy("doc_id", "text_key").agg(F.collect_list("span").alias("spans"), F.max("words").alias("shared"))
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, removed (array of maximal (start, end) runs in bytes) and kept (the remaining bytes) of every document."""
+    """doc_id, n_bytes, removed (array of maximal (start, end) runs in bytes), kept (the remaining bytes) and shared (whether another
+    document has one of its passages of PASSAGE_WORDS words) of every document."""
     spans = repeated_spans(docs, length, gram).withColumnsRenamed({"doc_id": "s_doc_id", "text_key": "s_text_key"})
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     on = F.col("doc_id").eqNullSafe(F.col("s_doc_id")) & (F.col("text_key") == F.col("s_text_key"))
@@ -266,6 +371,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             sizes, removed, kept = [], [], []
+            shared = pc.fill_null(batch.column(3), False)
             for text, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 runs: list[list[int]] = []
                 for a, b in sorted((s["start"], s["end"]) for s in spans or ()):
@@ -277,7 +383,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 removed.append([{"start": a, "end": b} for a, b in runs])
                 edges = [0, *(x for r in runs for x in r), len(text)]
                 kept.append(b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary()), shared], ["doc_id", "n_bytes", "removed", "kept", "shared"])
 
-    joined = keyed.join(spans, on, "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    joined = keyed.join(spans, on, "left").select("doc_id", "text", "spans", "shared")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary, shared boolean")

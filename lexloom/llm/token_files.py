@@ -7,8 +7,8 @@ File format, a folder with two Parquet tables written by Spark's own committer,
 Shards ascend with doc_id; shard_start counts the ids before a row within its shard, so a document's place among all ids
 is a sum of shard totals (one number a shard) away.
 
-Defined results: a null text is empty; null doc_ids come first; repeated rows are all kept, next to each other; an empty
-table gives empty tables; further columns are ignored.
+Defined results: a null text is empty; null doc_ids come first; rows of one id go by a hash of their ids; repeated rows are all kept,
+next to each other; an empty table gives empty tables; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -250,8 +250,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
         if rows:
             yield row()
 
-    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(run, _ROW_DDL).write.parquet(f"{path}/blocks")
+    # ranges go on within one id, so rows without ids, however many, are dealt to several shards
+    keyed = encoded.withColumn("tie", F.xxhash64("ids"))
+    ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered.select("doc_id", "ids").mapInArrow(run, _ROW_DDL).write.parquet(f"{path}/blocks")
     drop_stored(encoded)
 
 

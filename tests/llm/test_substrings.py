@@ -46,6 +46,39 @@ def test_two_stage_order(seed):
     assert cut == sorted(cut)
 
 
+def plain_shared(texts, n):
+    """For each distinct document (id, text) whether it holds n words in a row that a different one holds."""
+    grams = [{" ".join(w[i : i + n]) for w in [(t or "").split()] for i in range(len(w) - n + 1)} for _, t in texts]
+    owners = {}
+    for d, own in zip(texts, grams):
+        for g in own:
+            owners.setdefault(g, set()).add(d)
+    return [any(len(owners[g]) > 1 for g in own) for own in grams]
+
+
+@pytest.mark.parametrize(("seed", "words", "gram"), [(1, 5, 2), (2, 8, 3), (3, 6, 6)])
+def test_passages_of_words(spark, seed, words, gram):
+    rng = random.Random(seed)
+    common = [" ".join(rng.choice("abcdefg") + rng.choice("xyz") for _ in range(rng.randrange(2, 14))) for _ in range(8)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(common) if rng.random() < 0.3 else " ".join(str(rng.randrange(300)) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(0, 5))]
+        rows.append((i, " ".join(parts)))
+    rows += [(100, rows[3][1]), (None, rows[5][1]), (101, "1 2 3 4 5 6 7 8 9 " * 3), (102, None), (103, "alone " * 4)]
+    spans = substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 400, 160, words, gram)
+    got = {r.doc_id for r in spans.where("shared").collect()}
+    assert got == {d for (d, _), s in zip(rows, plain_shared(rows, words)) if s}
+
+
+def test_words_in_segments(monkeypatch):
+    monkeypatch.setattr(substrings, "SEGMENT", 200)
+    monkeypatch.setattr(substrings, "_powers", [])
+    rng = random.Random(4)
+    text = " ".join("w" * rng.randrange(1, 60) + str(rng.randrange(50)) for _ in range(300)).encode()
+    anchor, _, first, n = substrings.word_occurrences(text, 6, 3)
+    assert first[0] == 0 and (first[1:] == (first + n)[:-1]).all() and first[-1] + n[-1] == 300 - 5
+
+
 def planted(seed, n=40):
     rng = random.Random(seed)
     passages = ["".join(rng.choice("abcdeé ") for _ in range(rng.randrange(8, 60))) for _ in range(6)]
@@ -106,7 +139,10 @@ def test_query_equals_all_windows(spark, sf, texts):
                 gone[i : i + 400] = b"\x01" * 400
         kept = bytes(x for x, y in zip(t, gone) if not y)
         expected[d] = len(t), sum(gone), len(runs(gone)), hashlib.sha256(kept).hexdigest()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in contracts.op7_substrings(spark, sf).collect()} == expected
+    rows = contracts.op7_substrings(spark, sf).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == expected
+    flags = plain_shared([(d, texts[d]) for d in ids], substrings.PASSAGE_WORDS)
+    assert {r.doc_id: r.repeats_passage for r in rows} == {d: int(f) for d, f in zip(ids, flags)}
 
 
 def test_odd_rows(spark, odd, empty):
