@@ -1,20 +1,20 @@
 """Exact-substring deduplication: every byte covered by a `length`-byte string that also starts anywhere else.
 
-Dealing. A window of `length` bytes is owned by its anchor: the leftmost of its GRAM-byte strings with the smallest hash. Equal
-windows have equal anchors at equal places, so all that can match meets under one anchor. The windows that follow each other
-under one anchor form an occurrence; the bytes they span are its context. Only hashes of anchors and contexts
-are shuffled, pre-aggregated: equal contexts (whole copies, however many) are one row with a count, and those counted
-twice are repeats as they stand. Contexts are fetched only for anchors that have several different ones.
+Dealing. A place where a string starts is owned by its anchor: the leftmost of the GRAM-byte strings with the smallest hash among those
+within the SUB bytes from there. Equal strings of SUB bytes or more have equal anchors at equal places, so all that can match meets under
+one anchor. The starts that follow each other under one anchor form an occurrence; the bytes from the first start to `length`
+after the last (or the text's end) are its context. Only hashes of anchors and contexts are shuffled, pre-aggregated: equal contexts
+(whole copies, however many) are one row with a count, and those counted twice are repeats as they stand. Contexts are fetched
+only for anchors that have several different ones.
 
 Sorting. Contexts of the same anchors lie in one shard text of bounded size, whose suffixes are put in order of their first
 `length` bytes by two-stage sorting (Itoh and Tanaka 1999): suffixes smaller than their successors are sorted directly, all others
-are induced by a scan of the first-byte buckets in ascending order. Adjacent window starts with a common prefix of `length` bytes
+are induced by a scan of the first-byte buckets in ascending order. Adjacent starts with a common prefix of `length` bytes
 are repeats. An anchor with more than SHARD_CONTEXTS different contexts (a passage in very many surroundings) is
 not sorted in one place: its windows are dealt by the hash of all their bytes, one row a window, and counted.
 
-Passages. Beside the bytes, a document is marked that shares PASSAGE_WORDS or more words in a row with a different document, however few
-bytes they have. Word windows are dealt in the same way: by the smallest hash of PASSAGE_GRAM words within, contexts of the anchor
-counted, and only the windows of anchors with several different contexts compared by their own hashes.
+Passages. The same common prefixes tell which documents share a passage of PASSAGE_WORDS words (of SUB bytes at least) or of `length`
+bytes: at each word start, a prefix that holds so many words marks the document, even where too few bytes repeat to remove any.
 
 Defined results: a null text is empty; texts shorter than `length` lose nothing; repeated rows (equal doc_id and text) are copies of
 each other; overlapping repeats count; a null doc_id is an id like any other; further columns are ignored; an empty table gives an empty result.
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import drop_stored, small_batches, stored
 
-LENGTH, GRAM = 400, 160
-#: Words in a row that make a passage, and of the strings by whose hashes they are dealt.
-PASSAGE_WORDS, PASSAGE_GRAM = 50, 20
+LENGTH, SUB, GRAM = 400, 250, 80
+#: Words in a row that make a passage.
+PASSAGE_WORDS = 50
 #: Bytes hashed at once; bytes of a shard text; different contexts of one anchor that share a shard.
 SEGMENT, SHARD_BYTES, SHARD_CONTEXTS = 1 << 20, 1 << 17, 512
 
@@ -54,19 +54,20 @@ def _power_tables() -> list[np.ndarray]:
     return _powers
 
 
-def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """64-bit hash of the `gram` bytes from each place, from prefix sums of a polynomial modulo 2**64."""
-    up, down = _power_tables()
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return _mixed((sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1])
+class _Hashes:
+    """64-bit hashes of any substrings of some bytes, from prefix sums of a polynomial modulo 2**64."""
 
+    def __init__(self, data: np.ndarray):
+        up, self.down = _power_tables()
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return h
+    def between(self, a: np.ndarray | slice, b: np.ndarray | slice) -> np.ndarray:
+        h = (self.sums[b] - self.sums[a]) * self.down[a]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        return h
 
 
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -80,74 +81,48 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def occurrences(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, context hash, first start, number of starts, bytes from first start to anchor) of a text's anchors.
+_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 
-    Texts over SEGMENT bytes go in segments that overlap by length - 1 bytes: every window lies in one, and its anchor depends
-    on its own bytes only.
+
+def word_reach(data: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of words that others follow, and where `words` words from each end."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]]).astype(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    n = max(len(starts) - words + 1, 0)
+    return starts[:n], ends[words - 1 :] if n else ends[:0]
+
+
+def occurrences(text: bytes, length: int = LENGTH, sub: int = SUB, gram: int = GRAM, words: int = PASSAGE_WORDS) -> tuple[np.ndarray, ...]:
+    """(anchor hash, context hash, first start, number of starts, those of them that `length` bytes follow, bytes of the context,
+    whether it holds a passage) of a text's anchors.
+
+    Texts over SEGMENT bytes go in segments that overlap by length - 1 bytes: each start is in one, and its anchor depends
+    on the bytes after it only.
     """
     parts = []
     step = SEGMENT - length + 1
-    for base in range(0, len(text) - length + 1, step):
+    for base in range(0, max(len(text) - sub + 1, 0), step):
         data = np.frombuffer(text, np.uint8, min(SEGMENT, len(text) - base), base)
-        hashes = _gram_hashes(data, gram)
+        n_starts = min(len(data) - sub + 1, step)
+        if n_starts <= 0:
+            continue
+        own = _Hashes(data)
+        hashes = own.between(slice(0, len(data) - gram + 1), slice(gram, None))
         keys = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
-        place = (_window_min(keys, length - gram + 1) & _PLACE).astype(np.int64)
+        place = (_window_min(keys, sub - gram + 1) & _PLACE).astype(np.int64)[:n_starts]
         first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
-        count = np.diff(np.concatenate([first, [len(place)]]))
+        count = np.diff(np.concatenate([first, [n_starts]]))
         anchor = place[first]
-        rel = anchor - first
-        context = [xxhash.xxh3_64_intdigest(text[base + a : base + a + n - 1 + length], r) for a, n, r in zip(first.tolist(), count.tolist(), rel.tolist())]
-        parts.append((hashes[anchor].view(np.int64), np.array(context, np.uint64).view(np.int64), first + base, count, rel))
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.empty(0, np.int64) for _ in range(5))
-
-
-class _Words:
-    """Places and hashes of the words of a text: strings of words are equal if their bytes are, any white-space byte counting as a space."""
-
-    def __init__(self, text: bytes):
-        data = np.frombuffer(text, np.uint8)
-        space = (data == 32) | ((data >= 9) & (data <= 13))
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
-        self.starts, self.ends = edges[::2], edges[1::2]
-        self.data = np.where(space, np.uint8(32), data)
-
-    def segments(self, words: int) -> Iterator[tuple[int, int]]:
-        """Runs (first word, end) that hold every window of `words` words once, in no more than SEGMENT bytes unless they are one window."""
-        i, n = 0, len(self.starts)
-        while i + words <= n:
-            j = max(int(np.searchsorted(self.ends, self.starts[i] + SEGMENT, "right")), i + words)
-            yield i, j
-            i = j - words + 1
-
-    def hashes(self, first: int, end: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hashes of the strings from word a to word b (inclusive), numbered within a segment."""
-        starts, ends = self.starts[first:end], self.ends[first:end]
-        base = starts[0]
-        data = self.data[base : ends[-1]]
-        if len(data) > SEGMENT:
-            return np.array([xxhash.xxh3_64_intdigest(data[starts[x] - base : ends[y] - base].tobytes()) for x, y in zip(a, b)], np.uint64)
-        up, down = _power_tables()
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        return _mixed((sums[ends[b] - base] - sums[starts[a] - base]) * down[starts[a] - base])
-
-
-def word_occurrences(text: bytes, words: int = PASSAGE_WORDS, gram: int = PASSAGE_GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, context hash, first window, number of windows) of a text's windows of words, each window numbered by its first word."""
-    own, parts = _Words(text), []
-    for first, end in own.segments(words):
-        at = np.arange(end - first - gram + 1)
-        hashes = own.hashes(first, end, at, at + gram - 1)
-        # equal hashes in a window go to the leftmost: the place takes the low bits
-        keys = (hashes & ~_PLACE) | at.astype(np.uint64)
-        place = (_window_min(keys, words - gram + 1) & _PLACE).astype(np.int64)
-        starts = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
-        count = np.diff(np.concatenate([starts, [len(place)]]))
-        anchor = place[starts]
-        context = own.hashes(first, end, starts, starts + count + words - 2) + (anchor - starts).astype(np.uint64)
-        parts.append((hashes[anchor].view(np.int64), context.view(np.int64), starts + first, count))
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.empty(0, np.int64) for _ in range(4))
+        end = np.minimum(first + count - 1 + length, len(data))
+        context = own.between(first, end) + (anchor - first).astype(np.uint64)
+        full = np.clip(len(data) - length + 1 - first, 0, count)
+        at, reach = word_reach(data, words)
+        which = np.searchsorted(first, at, "right") - 1
+        inside = (at < n_starts) & (reach - at >= sub) & (reach <= end[which])
+        passage = full > 0
+        passage[which[inside]] = True
+        parts.append((hashes[anchor].view(np.int64), context.view(np.int64), first + base, count, full, end - first, passage))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.empty(0, np.int64) for _ in range(7))
 
 
 def two_stage_order(data: bytes, depth: int) -> np.ndarray:
@@ -191,179 +166,179 @@ def two_stage_order(data: bytes, depth: int) -> np.ndarray:
     return order
 
 
-def shard_repeats(contexts: list[tuple[bytes, int]], length: int = LENGTH) -> list[np.ndarray]:
-    """For each context (bytes, number of starts) the starts whose window is also a window of another place in the shard."""
-    data = b"".join(b for b, _ in contexts)
-    offset = np.cumsum([0] + [len(b) for b, _ in contexts])
-    valid = np.zeros(len(data), bool)
-    for at, (_, n) in zip(offset, contexts):
+def shard_repeats(contexts: list[tuple[bytes, int, int]], length: int = LENGTH, sub: int = SUB, words: int = PASSAGE_WORDS) -> list[tuple[np.ndarray, bool]]:
+    """For each context (bytes, starts, starts that `length` bytes follow) the starts whose `length` bytes also start at another
+    place in the shard, and whether a passage does."""
+    data = b"\xff".join(b for b, *_ in contexts) + b"\xff"  # no text holds this byte, so nothing matches past a context
+    offset = np.cumsum([0] + [len(b) + 1 for b, *_ in contexts])
+    valid, full, need = np.zeros(len(data), bool), np.zeros(len(data), bool), np.full(len(data), length)
+    for at, (b, n, whole) in zip(offset, contexts):
         valid[at : at + n] = True
+        full[at : at + whole] = True
+        starts, reach = word_reach(np.frombuffer(b, np.uint8), words)
+        inside = (starts < n) & (reach - starts >= sub) & (reach - starts < length)
+        need[at + starts[inside]] = (reach - starts)[inside]
     order = two_stage_order(data, length)
     starts = order[valid[order]].tolist()
-    repeated = np.zeros(len(data), bool)
+    repeated, passage = np.zeros(len(data), bool), np.zeros(len(data), bool)
     last, window = -1, b""
     for s in starts:
         now = data[s : s + length]
-        if last >= 0 and now == window:
-            repeated[s] = repeated[last] = True
+        if last >= 0:
+            if now == window:
+                repeated[s] = repeated[last] = True
+            for x in (s, last):
+                if not passage[x] and now[: need[x]] == window[: need[x]]:
+                    passage[x] = True
         last, window = s, now
-    return [np.flatnonzero(repeated[at : at + n]) for at, (_, n) in zip(offset, contexts)]
+    repeated &= full
+    passage &= full | (need < length)
+    return [(np.flatnonzero(repeated[at : at + n]), bool(passage[at : at + n].any())) for at, (_, n, _) in zip(offset, contexts)]
 
 
 _MARK = "anchor long, ctx long, first int, n int"
 
 
-def _mark_rows(anchors: list[int], ctxs: list[int], starts: list[np.ndarray]) -> pa.RecordBatch:
+def _mark_rows(anchors: list[int], ctxs: list[int], found: list[tuple[np.ndarray, bool]]) -> pa.RecordBatch:
+    """Runs of repeated starts of contexts; a run of none for a context that only shares a passage."""
     cells: list[list[int]] = [[], [], [], []]
-    for a, c, s in zip(anchors, ctxs, starts):
-        if len(s):
-            cut = np.flatnonzero(np.diff(s) > 1) + 1
-            for run in np.split(s, cut):
-                for cell, x in zip(cells, (a, c, int(run[0]), len(run))):
-                    cell.append(x)
+    for a, c, (s, passage) in zip(anchors, ctxs, found):
+        runs = [(int(r[0]), len(r)) for r in np.split(s, np.flatnonzero(np.diff(s) > 1) + 1)] if len(s) else [(0, 0)] * passage
+        for first, n in runs:
+            for cell, x in zip(cells, (a, c, first, n)):
+                cell.append(x)
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cells, kinds)], ["anchor", "ctx", "first", "n"])
 
 
-def _sorted_marks(contexts: DataFrame, length: int) -> DataFrame:
-    """Marks of the contexts (anchor, ctx, n, copies, data) of anchors that fit a shard, but for those that repeat as a whole."""
+def _sorted_marks(contexts: DataFrame, length: int, sub: int, words: int) -> DataFrame:
+    """Marks of the contexts of anchors that fit a shard, but for those that repeat as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[bytes, int]] = {}
+        held: dict[tuple[int, int], tuple[bytes, int, int]] = {}
         whole: set[tuple[int, int]] = set()
         size, last = 0, None
 
         def done() -> pa.RecordBatch:
-            found = [(k, s) for k, s in zip(held, shard_repeats(list(held.values()), length)) if k not in whole]
-            return _mark_rows([a for (a, _), _ in found], [c for (_, c), _ in found], [s for _, s in found])
+            found = [(k, x) for k, x in zip(held, shard_repeats(list(held.values()), length, sub, words)) if k not in whole]
+            return _mark_rows([a for (a, _), _ in found], [c for (_, c), _ in found], [x for _, x in found])
 
         for batch in batches:
-            for anchor, ctx, n, copies, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for anchor, ctx, n, full, copies, data in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if anchor != last and size >= SHARD_BYTES:
                     yield done()
                     held, size = {}, 0
                     whole.clear()
                 last = anchor
                 if (anchor, ctx) not in held:
-                    held[anchor, ctx] = data, n
+                    held[anchor, ctx] = data, n, full
                     size += len(data)
                 if copies > 1:
                     whole.add((anchor, ctx))
         if held:
             yield done()
 
-    dealt = contexts.select("anchor", "ctx", "n", "copies", "data").repartition("anchor").sortWithinPartitions("anchor")
+    dealt = contexts.select("anchor", "ctx", "n", "full", "copies", "data").repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, _MARK)
 
 
-def _counted_marks(contexts: DataFrame, length: int, scratch: list[DataFrame]) -> DataFrame:
+def _counted_marks(contexts: DataFrame, length: int, sub: int, words: int, scratch: list[DataFrame]) -> DataFrame:
     """Marks of the contexts of all other anchors: one row a window, by a 128-bit hash of its bytes, counted. Contexts that repeat
     as a whole only are partners of others; of the rest the windows that repeat are joined to runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, ctx, n, copies, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)]), "<i8").reshape(-1, 2)
-                cells = [np.full(n, anchor, np.int64), np.full(n, ctx, np.int64), np.arange(n, dtype=np.int32), digests[:, 0].copy(), digests[:, 1].copy(), np.full(n, copies > 1)]
+            for anchor, ctx, n, full, copies, data in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                starts, reach = word_reach(np.frombuffer(data, np.uint8), words)
+                inside = (starts < n) & (reach - starts >= sub) & (reach - starts < length)
+                windows = [(i, i + length) for i in range(full)] + list(zip(starts[inside].tolist(), reach[inside].tolist()))
+                digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in windows]), "<i8").reshape(-1, 2)
+                first = np.array([a if i < full else -1 for i, (a, _) in enumerate(windows)], np.int32)  # -1: a passage
+                m = len(windows)
+                cells = [np.full(m, anchor, np.int64), np.full(m, ctx, np.int64), first, digests[:, 0].copy(), digests[:, 1].copy(), np.full(m, copies > 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], ["anchor", "ctx", "first", "h", "g", "whole"])
 
     # one row a context: a repeated row must not count as another place
-    once = contexts.dropDuplicates(["anchor", "ctx"]).select("anchor", "ctx", "n", "copies", "data")
+    once = contexts.dropDuplicates(["anchor", "ctx"]).select("anchor", "ctx", "n", "full", "copies", "data")
     windows = stored(once.mapInArrow(run, "anchor long, ctx long, first int, h long, g long, whole boolean"), "windows")
     twice = stored(windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"), "windows-twice")
     scratch += [windows, twice]
-    hit = windows.where(~F.col("whole")).join(twice, ["h", "g"]).groupBy("anchor", "ctx").agg(F.array_sort(F.collect_list("first")).alias("at"))
-    starts = F.filter("at", lambda x, i: F.coalesce(F.get("at", i - 1) != x - 1, F.lit(True)))
-    ends = F.filter("at", lambda x, i: F.coalesce(F.get("at", i + 1) != x + 1, F.lit(True)))
-    runs = hit.select("anchor", "ctx", F.explode(F.arrays_zip(starts.alias("a"), ends.alias("b"))).alias("r"))
+    hit = windows.where(~F.col("whole")).join(twice, ["h", "g"]).groupBy("anchor", "ctx").agg(F.array_sort(F.collect_set("first")).alias("at"))
+    starts = F.filter("at", lambda x, i: (x >= 0) & F.coalesce(F.get("at", i - 1) != x - 1, F.lit(True)) | (x == 0))
+    ends = F.filter("at", lambda x, i: (x >= 0) & F.coalesce(F.get("at", i + 1) != x + 1, F.lit(True)))
+    both = F.when(F.element_at("at", -1) >= 0, F.arrays_zip(starts.alias("a"), ends.alias("b"))).otherwise(F.array(F.struct(F.lit(0).alias("a"), F.lit(-1).alias("b"))))
+    runs = hit.select("anchor", "ctx", F.explode(both).alias("r"))
     return runs.select("anchor", "ctx", F.col("r.a").alias("first"), (F.col("r.b") - F.col("r.a") + 1).alias("n"))
 
 
-_FOUND = {"doc_id": pa.int64(), "text_key": pa.int64(), "words": pa.bool_(), "anchor": pa.int64(), "ctx": pa.int64(), "start": pa.int64(), "n": pa.int32()}
-_FETCHED = {"words": pa.bool_(), "anchor": pa.int64(), "ctx": pa.int64(), "n": pa.int32(), "copies": pa.int64(), "contexts": pa.int64(), "low": pa.int64(), "high": pa.int64(), "data": pa.binary(), "hashes": pa.list_(pa.int64())}
-_DDL = {pa.int64(): "long", pa.bool_(): "boolean", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+_FOUND = {"doc_id": pa.int64(), "text_key": pa.int64(), "anchor": pa.int64(), "ctx": pa.int64(), "start": pa.int64(), "n": pa.int32(), "full": pa.int32(), "size": pa.int32(), "passage": pa.bool_()}
+_FETCHED = {"anchor": pa.int64(), "ctx": pa.int64(), "n": pa.int32(), "full": pa.int32(), "copies": pa.int64(), "contexts": pa.int64(), "data": pa.binary()}
+_DDL = {pa.int64(): "long", pa.bool_(): "boolean", pa.int32(): "int", pa.binary(): "binary"}
 
 
 def _ddl(kinds: dict[str, pa.DataType]) -> str:
     return ", ".join(f"{c} {_DDL[k]}" for c, k in kinds.items())
 
 
-def _passages(contexts: DataFrame, fetched: DataFrame, scratch: list[DataFrame]) -> DataFrame:
-    """(anchor, ctx) of the word contexts that hold a window that a different document holds as well.
-
-    low and high are the least and greatest key of the documents with a context; they differ if several have it.
-    """
-    windows = fetched.where("words").select("anchor", "ctx", "low", "high", F.explode("hashes").alias("h"))
-    windows = stored(windows, "word-windows")
-    across = stored(windows.groupBy("h").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a <> b").select("h"), "word-windows-twice")
-    scratch += [windows, across]
-    some = windows.join(across, "h").select("anchor", "ctx")
-    return some.union(contexts.where("words and low <> high").select("anchor", "ctx")).distinct()
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int = PASSAGE_WORDS, word_gram: int = PASSAGE_GRAM) -> DataFrame:
-    """doc_id, text_key (XXH64 of the text), spans: array of (start, end) in bytes, and shared, of documents that repeat something.
-    Spans may overlap; their union is what repeats. shared: whether the document holds a passage of `words` words that another has."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, sub: int = SUB, gram: int = GRAM, words: int = PASSAGE_WORDS) -> DataFrame:
+    """doc_id, text_key (XXH64 of the text) and spans: array of (start, end) in bytes, of documents that repeat `length` bytes or a
+    passage. Spans may overlap, and are none if only a passage repeats; their union is what repeats."""
     small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
-                for by_words in (False, True):
-                    if text is None or (not by_words and len(text) < length):
-                        continue
-                    anchor, ctx, start, n = word_occurrences(text, words, word_gram) if by_words else occurrences(text, length, gram)[:4]
-                    at = pa.array(np.full(len(anchor), i))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.full(len(anchor), by_words)), pa.array(anchor), pa.array(ctx), pa.array(start), pa.array(n.astype(np.int32))], list(_FOUND))
+            held, rows, size = [], [], 0
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            for i, text in enumerate(texts):
+                if text is not None and len(text) >= sub:
+                    held.append(occurrences(text, length, sub, gram, words))
+                    rows.append(np.full(len(held[-1][0]), i))
+                    size += len(rows[-1])
+                if held and (size > 1 << 16 or i + 1 == len(texts)):  # many texts a batch of Arrow
+                    at = pa.array(np.concatenate(rows))
+                    cells = [pa.array(np.concatenate(x)).cast(k) for x, k in zip(zip(*held), list(_FOUND.values())[2:])]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *cells], list(_FOUND))
+                    held, rows, size = [], [], 0
 
     found = stored(keyed.mapInArrow(mark, _ddl(_FOUND)), "occurrences")
-    place, key = F.struct("doc_id", "text_key", "start"), F.xxhash64("doc_id", "text_key")
-    contexts = stored(found.groupBy("words", "anchor", "ctx").agg(F.count("*").alias("copies"), F.min(place).alias("place"), F.first("n").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")), "contexts")
-    several = contexts.groupBy("words", "anchor").agg(F.count("*").alias("contexts"), F.min("low").alias("low"), F.max("high").alias("high"))
-    several = stored(several.where("contexts > 1 and (not words or low <> high)").select(F.col("words").alias("of_words"), F.col("anchor").alias("of"), "contexts"), "several")
-    wanted = contexts.join(several, (F.col("anchor") == F.col("of")) & (F.col("words") == F.col("of_words")))
-    asked = F.struct("words", "anchor", "ctx", "n", "copies", "contexts", "low", "high", F.col("place.start").alias("start"))
-    per_doc = wanted.groupBy(F.col("place.doc_id").alias("w_doc_id"), F.col("place.text_key").alias("w_text_key")).agg(F.collect_list(asked).alias("wanted"))
+    # the first of each column are of one row: all are taken at once; which row it is doesn't matter
+    own = ("doc_id", "text_key", "start", "n", "full", "size", "passage")
+    contexts = stored(found.groupBy("anchor", "ctx").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in own)), "contexts")
+    several = contexts.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    several = stored(several.withColumnRenamed("anchor", "of"), "several")
+    wanted = contexts.join(several, F.col("anchor") == F.col("of"))
+    per_doc = wanted.groupBy(F.col("doc_id").alias("w_doc_id"), F.col("text_key").alias("w_text_key")).agg(F.collect_list(F.struct("anchor", "ctx", "start", "size", "n", "full", "copies", "contexts")).alias("wanted"))
     on = F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & (F.col("text_key") == F.col("w_text_key"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, rows in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-                data, hashes, own = [], [], None
-                for r in rows:
-                    a, n = r["start"], r["n"]
-                    if not r["words"]:
-                        data.append(text[a : a + n - 1 + length])
-                        hashes.append(None)
-                        continue
-                    own = own or _Words(text)
-                    at = np.arange(n)
-                    data.append(None)
-                    hashes.append(own.hashes(a, a + n - 1 + words, at, at + words - 1).view(np.int64))
-                cells = [pa.array([r[c] for r in rows], k) for c, k in list(_FETCHED.items())[:-2]]
-                yield pa.RecordBatch.from_arrays([*cells, pa.array(data, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], list(_FETCHED))
+                data = [text[r["start"] : r["start"] + r["size"]] for r in rows]
+                cells = [pa.array([r[c] for r in rows], k) for c, k in list(_FETCHED.items())[:-1]]
+                yield pa.RecordBatch.from_arrays([*cells, pa.array(data, pa.binary())], list(_FETCHED))
 
     fetched = stored(keyed.join(per_doc, on).select("text", "wanted").mapInArrow(fetch, _ddl(_FETCHED)), "context-bytes")
     scratch: list[DataFrame] = []
-    full = contexts.where("copies > 1 and not words").select("anchor", "ctx", F.lit(0).alias("first"), "n")
-    few, many = fetched.where(f"not words and contexts <= {SHARD_CONTEXTS}"), fetched.where(f"not words and contexts > {SHARD_CONTEXTS}")
-    marks = full.union(_sorted_marks(few, length)).union(_counted_marks(many, length, scratch)).withColumn("words", F.lit(False))
-    marks = marks.union(_passages(contexts, fetched, scratch).select("anchor", "ctx", F.lit(0), F.lit(1), F.lit(True)))
-    marks = stored(marks.select(F.col("words").alias("m_words"), F.col("anchor").alias("m_anchor"), F.col("ctx").alias("m_ctx"), "first", F.col("n").alias("run")), "marks")
-    hit = found.join(marks, (F.col("anchor") == F.col("m_anchor")) & (F.col("ctx") == F.col("m_ctx")) & (F.col("words") == F.col("m_words")))
+    whole = contexts.where("copies > 1 and passage").select("anchor", "ctx", F.lit(0).alias("first"), F.col("full").alias("n"))
+    few, many = fetched.where(F.col("contexts") <= SHARD_CONTEXTS), fetched.where(F.col("contexts") > SHARD_CONTEXTS)
+    marks = whole.union(_sorted_marks(few, length, sub, words)).union(_counted_marks(many, length, sub, words, scratch))
+    marks = stored(marks.select(F.col("anchor").alias("m_anchor"), F.col("ctx").alias("m_ctx"), "first", F.col("n").alias("run")), "marks")
+    for old in (contexts, several, fetched, *scratch):
+        drop_stored(old)
+    hit = found.join(marks, (F.col("anchor") == F.col("m_anchor")) & (F.col("ctx") == F.col("m_ctx")))
     start = F.col("start") + F.col("first")
-    span = F.when(~F.col("words"), F.struct(start.alias("start"), (start + F.col("run") - 1 + length).alias("end")))
-    hit = stored(hit.select("doc_id", "text_key", "words", span.alias("span")), "hits")
-    for old in (found, contexts, several, fetched, marks, *scratch):
+    span = F.when(F.col("run") > 0, F.struct(start.alias("start"), (start + F.col("run") - 1 + length).alias("end")))
+    hit = stored(hit.select("doc_id", "text_key", span.alias("span")), "hits")
+    for old in (found, marks):
         drop_stored(old)
-    return hit.groupBy("doc_id", "text_key").agg(F.collect_list("span").alias("spans"), F.max("words").alias("shared"))
+    return hit.groupBy("doc_id", "text_key").agg(F.collect_list("span").alias("spans"))
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, removed (array of maximal (start, end) runs in bytes), kept (the remaining bytes) and shared (whether another
-    document has one of its passages of PASSAGE_WORDS words) of every document."""
-    spans = repeated_spans(docs, length, gram).withColumnsRenamed({"doc_id": "s_doc_id", "text_key": "s_text_key"})
+def deduplicated(docs: DataFrame, length: int = LENGTH, sub: int = SUB, gram: int = GRAM, words: int = PASSAGE_WORDS) -> DataFrame:
+    """doc_id, n_bytes, removed (array of maximal (start, end) runs in bytes), kept (the remaining bytes) and shared (whether
+    a passage of it starts elsewhere as well) of every document."""
+    spans = repeated_spans(docs, length, sub, gram, words).withColumnsRenamed({"doc_id": "s_doc_id", "text_key": "s_text_key"})
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     on = F.col("doc_id").eqNullSafe(F.col("s_doc_id")) & (F.col("text_key") == F.col("s_text_key"))
 
@@ -371,7 +346,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             sizes, removed, kept = [], [], []
-            shared = pc.fill_null(batch.column(3), False)
+            shared = pc.is_valid(batch.column(2))
             for text, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 runs: list[list[int]] = []
                 for a, b in sorted((s["start"], s["end"]) for s in spans or ()):
@@ -385,5 +360,5 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 kept.append(b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary()), shared], ["doc_id", "n_bytes", "removed", "kept", "shared"])
 
-    joined = keyed.join(spans, on, "left").select("doc_id", "text", "spans", "shared")
+    joined = keyed.join(spans, on, "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary, shared boolean")

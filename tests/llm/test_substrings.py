@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 
@@ -46,37 +47,34 @@ def test_two_stage_order(seed):
     assert cut == sorted(cut)
 
 
-def plain_shared(texts, n):
-    """For each distinct document (id, text) whether it holds n words in a row that a different one holds."""
-    grams = [{" ".join(w[i : i + n]) for w in [(t or "").split()] for i in range(len(w) - n + 1)} for _, t in texts]
-    owners = {}
-    for d, own in zip(texts, grams):
-        for g in own:
-            owners.setdefault(g, set()).add(d)
-    return [any(len(owners[g]) > 1 for g in own) for own in grams]
+def plain_shared(texts, length, sub, words):
+    """For each text (bytes) whether a string of `length` bytes of it, or of `words` words and at least `sub` bytes, starts elsewhere."""
+    count, own = {}, []
+    for t in texts:
+        places = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        spans = {(i, i + length) for i in range(len(t) - length + 1)}
+        spans |= {(places[i][0], places[i + words - 1][1]) for i in range(len(places) - words + 1) if places[i + words - 1][1] - places[i][0] >= sub}
+        own.append({hash(t[a:b]) if b - a == length else t[a:b] for a, b in spans if b - a <= length})
+        for w in [hash(t[a:b]) if b - a == length else t[a:b] for a, b in spans if b - a <= length]:
+            count[w] = count.get(w, 0) + 1
+    return [any(count[w] > 1 for w in ws) for ws in own]
 
 
-@pytest.mark.parametrize(("seed", "words", "gram"), [(1, 5, 2), (2, 8, 3), (3, 6, 6)])
-def test_passages_of_words(spark, seed, words, gram):
+@pytest.mark.parametrize(("seed", "crowded"), [(1, False), (2, False), (3, True), (4, False)])
+def test_passages_of_words(spark, monkeypatch, seed, crowded):
+    if crowded:
+        monkeypatch.setattr(substrings, "SHARD_CONTEXTS", 1)
     rng = random.Random(seed)
     common = [" ".join(rng.choice("abcdefg") + rng.choice("xyz") for _ in range(rng.randrange(2, 14))) for _ in range(8)]
     rows = []
     for i in range(60):
         parts = [rng.choice(common) if rng.random() < 0.3 else " ".join(str(rng.randrange(300)) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(0, 5))]
         rows.append((i, " ".join(parts)))
-    rows += [(100, rows[3][1]), (None, rows[5][1]), (101, "1 2 3 4 5 6 7 8 9 " * 3), (102, None), (103, "alone " * 4)]
-    spans = substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 400, 160, words, gram)
-    got = {r.doc_id for r in spans.where("shared").collect()}
-    assert got == {d for (d, _), s in zip(rows, plain_shared(rows, words)) if s}
-
-
-def test_words_in_segments(monkeypatch):
-    monkeypatch.setattr(substrings, "SEGMENT", 200)
-    monkeypatch.setattr(substrings, "_powers", [])
-    rng = random.Random(4)
-    text = " ".join("w" * rng.randrange(1, 60) + str(rng.randrange(50)) for _ in range(300)).encode()
-    anchor, _, first, n = substrings.word_occurrences(text, 6, 3)
-    assert first[0] == 0 and (first[1:] == (first + n)[:-1]).all() and first[-1] + n[-1] == 300 - 5
+    rows += [(100, rows[3][1]), (None, rows[5][1]), (101, "1 2 3 4 5 6 7 8 9 " * 3), (102, None), (103, "alone \n" * 4)]
+    got = substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 40, 14, 6, 6).collect()
+    flags = plain_shared([(t or "").encode() for _, t in rows], 40, 14, 6)
+    assert {r.doc_id for r in got if r.shared} == {d for (d, _), f in zip(rows, flags) if f}
+    assert 5 < sum(flags) < 60
 
 
 def planted(seed, n=40):
@@ -91,34 +89,34 @@ def planted(seed, n=40):
     return texts + texts[:5] + ["ab" * 100, "a" * 90]
 
 
-def compare(spark, rows, length, gram):
-    got = substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), length, gram).collect()
+def compare(spark, rows, length, sub, gram):
+    got = substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), length, sub, gram).collect()
     data = [(t or "").encode() for _, t in rows]
     expected = sorted((str(d), len(t), runs(g), bytes(x for x, y in zip(t, g) if not y)) for (d, _), t, g in zip(rows, data, plain_removed(data, length)))
     assert sorted((str(r.doc_id), r.n_bytes, [(x.start, x.end) for x in r.removed], bytes(r.kept)) for r in got) == expected
 
 
-@pytest.mark.parametrize(("seed", "length", "gram"), [(1, 12, 5), (2, 20, 8), (3, 6, 6)])
-def test_equals_all_windows(spark, seed, length, gram):
-    compare(spark, list(enumerate(planted(seed))), length, gram)
+@pytest.mark.parametrize(("seed", "length", "sub", "gram"), [(1, 12, 9, 5), (2, 20, 20, 8), (3, 6, 6, 6), (4, 16, 10, 3)])
+def test_equals_all_windows(spark, seed, length, sub, gram):
+    compare(spark, list(enumerate(planted(seed))), length, sub, gram)
 
 
 def test_crowded_anchors_take_the_counted_way(spark, monkeypatch):
     monkeypatch.setattr(substrings, "SHARD_CONTEXTS", 1)
-    compare(spark, list(enumerate(planted(7))), 12, 5)
+    compare(spark, list(enumerate(planted(7))), 12, 9, 5)
 
 
 def test_small_shards_and_segments(spark, monkeypatch):
     monkeypatch.setattr(substrings, "SHARD_BYTES", 64)
-    compare(spark, list(enumerate(planted(9))), 12, 5)
+    compare(spark, list(enumerate(planted(9))), 12, 9, 5)
 
 
 def test_long_texts_in_segments():
     rng = random.Random(5)
     text = bytes(rng.choice(b"abcdefgh") for _ in range(substrings.SEGMENT + 5000))
-    anchor, _, start, n, rel = substrings.occurrences(text)
-    assert start[0] == 0 and (start[1:] == (start + n)[:-1]).all() and start[-1] + n[-1] == len(text) - substrings.LENGTH + 1
-    assert (rel >= 0).all() and (rel <= substrings.LENGTH - substrings.GRAM).all()
+    _, _, start, n, full, size, passage = substrings.occurrences(text)
+    assert start[0] == 0 and (start[1:] == (start + n)[:-1]).all() and start[-1] + n[-1] == len(text) - substrings.SUB + 1
+    assert full.sum() == len(text) - substrings.LENGTH + 1 and ((size == n - 1 + substrings.LENGTH) | (start + size == len(text))).all() and (passage == (full > 0)).all()
 
 
 def test_query_equals_all_windows(spark, sf, texts):
@@ -141,13 +139,13 @@ def test_query_equals_all_windows(spark, sf, texts):
         expected[d] = len(t), sum(gone), len(runs(gone)), hashlib.sha256(kept).hexdigest()
     rows = contracts.op7_substrings(spark, sf).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == expected
-    flags = plain_shared([(d, texts[d]) for d in ids], substrings.PASSAGE_WORDS)
+    flags = plain_shared(data, 400, substrings.SUB, substrings.PASSAGE_WORDS)
     assert {r.doc_id: r.repeats_passage for r in rows} == {d: int(f) for d, f in zip(ids, flags)}
 
 
 def test_odd_rows(spark, odd, empty):
-    rows = substrings.deduplicated(odd, 20, 8).collect()
+    rows = substrings.deduplicated(odd, 20, 14, 8).collect()
     by = {r.doc_id: r for r in rows}
     assert len(rows) == 10 and by[2].n_bytes == 0 and by[1].kept == b"" and by[4].kept == b"" and by[5].kept == b"" and by[8].removed == []
-    compare(spark, [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect() if r.doc_id != 5], 20, 8)
+    compare(spark, [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect() if r.doc_id != 5], 20, 14, 8)
     assert substrings.deduplicated(empty).count() == 0
