@@ -37,7 +37,7 @@ LENGTH, SUB, GRAM = 400, 250, 80
 #: Words in a row that make a passage.
 PASSAGE_WORDS = 50
 #: Bytes hashed at once; bytes of a shard text; different contexts of one anchor that share a shard.
-SEGMENT, SHARD_BYTES, SHARD_CONTEXTS = 1 << 20, 1 << 17, 512
+SEGMENT, SHARD_BYTES, SHARD_CONTEXTS = 1 << 20, 1 << 18, 512
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -125,8 +125,12 @@ def occurrences(text: bytes, length: int = LENGTH, sub: int = SUB, gram: int = G
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.empty(0, np.int64) for _ in range(7))
 
 
-def two_stage_order(data: bytes, depth: int) -> np.ndarray:
-    """Suffix starts of data in order of their first `depth` bytes, by two-stage sorting."""
+def two_stage_order(data: bytes, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Suffix starts of data in order of their first `depth` bytes, by two-stage sorting.
+
+    wanted: which suffixes to order; with each run of them go those after it up to the next that is smaller than its successor, as
+    an induced suffix takes its place from the one that follows it.
+    """
     t = np.frombuffer(data, np.uint8).astype(np.int64)
     n = len(t)
     if n == 0:
@@ -135,18 +139,26 @@ def two_stage_order(data: bytes, depth: int) -> np.ndarray:
     after = np.append(t[1:], -1)
     runs = np.flatnonzero(t != after)
     small = (t < after)[runs[np.searchsorted(runs, np.arange(n))]]
-    size = np.bincount(t, minlength=256)
+    taken = np.ones(n, bool) if wanted is None else wanted.copy()
+    if wanted is not None:
+        ends = np.flatnonzero(wanted & ~np.append(wanted[1:], True)) + 1
+        seeds = np.append(np.flatnonzero(small), n - 1)
+        change = np.zeros(n + 1, np.int64)
+        np.add.at(change, ends, 1)
+        np.add.at(change, seeds[np.searchsorted(seeds, ends)] + 1, -1)
+        taken |= np.cumsum(change[:n]) > 0
+    size = np.bincount(t[taken], minlength=256)
     base = np.concatenate([[0], np.cumsum(size)[:-1]])
-    induced = np.bincount(t[~small], minlength=256)
-    order, rank = np.empty(n, np.int64), np.full(n + 1, -1, np.int64)
-    direct = sorted(np.flatnonzero(small).tolist(), key=lambda i: data[i : i + depth])
+    induced = np.bincount(t[taken & ~small], minlength=256)
+    order, rank = np.empty(int(size.sum()), np.int64), np.full(n + 1, -1, np.int64)
+    direct = sorted(np.flatnonzero(taken & small).tolist(), key=lambda i: data[i : i + depth])
     if direct:
         d = np.array(direct, np.int64)
         c = t[d]
         within = np.arange(len(d)) - np.searchsorted(c, c)
         spot = base[c] + induced[c] + within
         order[spot], rank[d] = d, spot
-    large = np.flatnonzero(~small)
+    large = np.flatnonzero(taken & ~small)
     large = large[np.argsort(t[large], kind="stable")]
     bounds = np.searchsorted(t[large], np.arange(257))
     for c in np.flatnonzero(induced):
@@ -178,21 +190,27 @@ def shard_repeats(contexts: list[tuple[bytes, int, int]], length: int = LENGTH,
         starts, reach = word_reach(np.frombuffer(b, np.uint8), words)
         inside = (starts < n) & (reach - starts >= sub) & (reach - starts < length)
         need[at + starts[inside]] = (reach - starts)[inside]
-    order = two_stage_order(data, length)
-    starts = order[valid[order]].tolist()
+    order = two_stage_order(data, length, valid)
+    order = order[valid[order]]
+    own = _Hashes(np.frombuffer(data, np.uint8))
     repeated, passage = np.zeros(len(data), bool), np.zeros(len(data), bool)
-    last, window = -1, b""
-    for s in starts:
-        now = data[s : s + length]
-        if last >= 0:
-            if now == window:
-                repeated[s] = repeated[last] = True
-            for x in (s, last):
-                if not passage[x] and now[: need[x]] == window[: need[x]]:
-                    passage[x] = True
-        last, window = s, now
+
+    def alike(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Where n bytes from x and from y are equal: hashes rule out nearly all that are not, bytes decide."""
+        within = np.maximum(x, y) + n <= len(data)
+        x, y, n, at = x[within], y[within], n[within], np.flatnonzero(within)
+        same = own.between(x, x + n) == own.between(y, y + n)
+        return np.array([i for i, a, b, k in zip(at[same].tolist(), x[same].tolist(), y[same].tolist(), n[same].tolist()) if data[a : a + k] == data[b : b + k]], np.int64)
+
+    before, behind = order[:-1], order[1:]
+    hit = alike(before, behind, np.full(len(before), length))
+    repeated[before[hit]] = repeated[behind[hit]] = True
+    for x, y in ((before, behind), (behind, before)):
+        short = need[x] < length
+        x, y = x[short], y[short]
+        passage[x[alike(x, y, need[x])]] = True
     repeated &= full
-    passage &= full | (need < length)
+    passage |= repeated
     return [(np.flatnonzero(repeated[at : at + n]), bool(passage[at : at + n].any())) for at, (_, n, _) in zip(offset, contexts)]
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lexloom.llm import contracts, substrings
@@ -45,6 +46,11 @@ def test_two_stage_order(seed):
     assert sorted(order) == list(range(len(data)))
     cut = [data[i : i + depth] for i in order]
     assert cut == sorted(cut)
+    wanted = [rng.random() < 0.7 for _ in data]
+    some = [i for i in substrings.two_stage_order(data, depth, np.array(wanted, bool)).tolist() if wanted[i]]
+    assert sorted(some) == [i for i, w in enumerate(wanted) if w]
+    cut = [data[i : i + depth] for i in some]
+    assert cut == sorted(cut)
 
 
 def plain_shared(texts, length, sub, words):
