@@ -44,7 +44,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.cascade(table(spark, sf_dir, "documents"))
     measures = (F.col(f"q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-    return rows.select("doc_id", *measures, "base_failed", (~F.col("base_failed") & F.col("failed_rule").isNull()).alias("kept"))
+    return rows.select("doc_id", *measures, "base_failed", F.col("failed_rule").isNull().alias("kept"))
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,21 @@
 """Quality rules as a short-circuit cascade, in Spark SQL functions only.
 
-A rule is a cheap predicate over measured columns of a text. The cascade times every rule on a bounded sample of the
-documents (Bernoulli draws of SAMPLE rows on average), estimates the share it rejects, and orders the rules by rejection per cost; a CASE then stops at the first
-rule that rejects a document. The order decides only how soon a document is given up, never whether: a document is kept
-if no rule rejects it, so every order keeps the same documents.
-
-Measures of a text (null: no words): n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words. The last is found
+A rule is a predicate over a text, with whatever has to be measured for it inside: a measure that only one rule reads is worked out in
+that rule's branch of a CASE, and so only for documents that no earlier rule has rejected. The cascade times every rule on a bounded
+sample of the documents (Bernoulli draws of SAMPLE rows on average) against a scan without rules, estimates the share it
+rejects, and orders the rules by rejection per cost. The order decides only how soon a document is given up, never whether: a
+document is kept if no rule rejects it. failed_rule and rules_tried tell where the cascade stopped; they follow the order, and so the
+clock, and may differ between runs, unlike the verdict.
+
+Measures of a text (null: no words): n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words. cascade() gives them for every
+document, in columns q_<measure>, or with measure=False leaves them to the rules that need them. n_repeat_words is found
 within the row: windows of eight words are hashed (64-bit), a text whose hashes are all distinct stops there, otherwise
 the hashes are sorted with their positions and the words covered by repeated ones are counted. Nothing is exploded or
 shuffled, so no group of equal texts can meet in one task.
 
 Defined results: an empty or null text has no words and fails the base rule; repeated rows and ties get equal results;
-extra columns pass through untouched; an empty table gives an empty result.
+extra columns pass through, but for any named q_<measure>, base_failed, failed_rule or rules_tried, which the results replace; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import spaced
+from lexloom.llm.common import fresh, n_words, spaced
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -61,20 +65,28 @@ def repeat_words(words: Column, k: int = WINDOW) -> Column:
     return F.when(F.size(words) <= k, F.lit(0).cast("long")).otherwise(_let(hashes, covered))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with q_<measure> columns; the text is split into words once."""
+def _measures(text: str) -> dict[str, Column]:
+    """Every measure by itself."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    numbers = _let(F.array_remove(F.split(spaced(F.col(text)), " "), ""), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words")))
-    dup = _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    out = docs.withColumns({
-        "_q": numbers,
-        "q_word_chars": F.char_length(t).cast("long") - _count(t, " \t\n\x0b\x0c\r"),
-        "q_n_symbols": _count(t, SYMBOLS),
-        "q_n_dup_lines": dup,
-        "q_n_upper": F.char_length(F.regexp_replace(t, "[^A-Z]+", "")).cast("long"),
-    })
-    return out.withColumns({"q_n_words": F.col("_q.n_words"), "q_n_repeat_words": F.col("_q.n_repeat_words")}).drop("_q")
+    words = F.array_remove(F.split(spaced(F.col(text)), " "), "")
+    return {
+        "n_words": n_words(F.col(text)),
+        "word_chars": F.char_length(t).cast("long") - _count(t, " \t\n\x0b\x0c\r"),
+        "n_symbols": _count(t, SYMBOLS),
+        "n_dup_lines": _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+        "n_repeat_words": _let(words, lambda w: repeat_words(w)),
+    }
+
+
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with q_<measure> columns; the text is split into words once."""
+    words = F.array_remove(F.split(spaced(F.col(text)), " "), "")
+    both = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words")))
+    name = fresh("q_words", docs)
+    rest = {f"q_{k}": v for k, v in _measures(text).items() if k not in ("n_words", "n_repeat_words")}
+    out = docs.withColumns({name: both, **rest})
+    return out.withColumns({f"q_{k}": F.col(f"{name}.{k}") for k in ("n_words", "n_repeat_words")}).drop(name)
 
 
 @dataclass(frozen=True)
@@ -83,50 +95,76 @@ class Rule:
     rejects: Column
 
 
-def base_failed() -> Column:
-    return (F.col("q_n_words") < 20) | (100 * F.col("q_n_repeat_words") > 30 * F.col("q_n_words"))
+def base_failed(q: dict[str, Column] | None = None) -> Column:
+    q = q or {k: F.col(f"q_{k}") for k in _measures("text")}
+    return (q["n_words"] < 20) | (100 * q["n_repeat_words"] > 30 * q["n_words"])
+
 
+def default_rules(text: str = "text", measured: bool = True) -> list[Rule]:
+    """Beyond the base: thresholds in the spirit of the published Gopher rules, over whole texts and integers only.
 
-def default_rules() -> list[Rule]:
-    """Beyond the base: thresholds in the spirit of the published Gopher rules, over whole texts and integers only."""
-    words, chars = F.col("q_n_words"), F.col("q_word_chars")
+    measured: the rules read q_ columns that are there anyway; else each rule measures for itself, and the base rules are rules as well.
+    """
+    q = {k: F.col(f"q_{k}") if measured else v for k, v in _measures(text).items()}
+    t, words, chars = F.coalesce(F.col(text), F.lit("")), q["n_words"], q["word_chars"]
+    upper = F.char_length(F.regexp_replace(t, "[^A-Z]+", "")).cast("long")
+    base = [Rule("short", words < 20), Rule("repeats", 100 * q["n_repeat_words"] > 30 * words)]
     return [
-        Rule("short", words < 20),
-        Rule("repeats", 100 * F.col("q_n_repeat_words") > 30 * words),
-        Rule("symbols", 10 * F.col("q_n_symbols") > 3 * words),
+        *([] if measured else base),
+        Rule("symbols", 10 * q["n_symbols"] > 3 * words),
         Rule("short_words", chars < 2 * words),
         Rule("long_words", chars > 20 * words),
-        Rule("dup_lines", 100 * F.col("q_n_dup_lines") > 30 * (F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"\n")) + 1)),
-        Rule("shouting", 2 * F.col("q_n_upper") > chars),
-        Rule("placeholder", F.contains(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit("lorem ipsum"))),
+        Rule("dup_lines", 100 * q["n_dup_lines"] > 30 * (F.regexp_count(t, F.lit(r"\n")) + 1)),
+        Rule("shouting", 2 * upper > chars),
+        Rule("placeholder", F.contains(F.lower(t), F.lit("lorem ipsum"))),
     ]
 
 
-def ordered(rules: list[Rule], sample: DataFrame) -> list[Rule]:
-    """Rules by rejected share per second on the sample, best first; the sample is measured() and bounded."""
+def ordered(rules: list[Rule], sample: DataFrame, runs: int = 2) -> list[Rule]:
+    """Rules by rejected share per second on the sample, best first, then the cheaper first; the sample is bounded.
+
+    A rule's seconds are the least of `runs` scans with it over the least without any, so that compiling and starting jobs do not count.
+    """
     rows = sample.persist()
     total = max(rows.count(), 1)
+
+    def timed(hit: Column) -> tuple[float, int]:
+        took, n = [], 0
+        for _ in range(runs):
+            began = time.perf_counter()
+            n = rows.agg(F.count_if(hit)).head()[0]
+            took.append(time.perf_counter() - began)
+        return min(took), n
+
+    idle = timed(F.lit(True))[0]
     score = []
     for rule in rules:
-        began = time.perf_counter()
-        hit = rows.agg(F.count_if(rule.rejects)).head()[0]
-        score.append((hit / total) / max(time.perf_counter() - began, 1e-6))
+        seconds, n = timed(rule.rejects)
+        cost = max(seconds - idle, 1e-4)
+        score.append((-(n / total) / cost, cost))
     rows.unpersist()
-    return [r for _, r in sorted(zip(score, rules), key=lambda x: -x[0])]
-
-
-def cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE) -> DataFrame:
-    """docs with the q_ measures, base_failed and failed_rule: the first rule of the estimated order that rejects, or null."""
-    rules = default_rules() if rules is None else rules
-    rows = measured(docs)
-    # drawn row by row: a limit would send sample_rows rows of every partition to one task
-    share = min(1.0, sample_rows / max(docs.count(), 1))
-    plan = ordered(rules, measured(docs.sample(share, seed=1)))
-    verdict = None
-    for rule in plan:
-        hit = F.coalesce(rule.rejects, F.lit(False))
-        verdict = F.when(hit, rule.name) if verdict is None else verdict.when(hit, rule.name)
-    return rows.withColumns({"base_failed": base_failed(), "failed_rule": F.lit(None).cast("string") if verdict is None else verdict})
+    return [rules[i] for i in sorted(range(len(rules)), key=lambda i: score[i])]
+
+
+def cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE, measure: bool = True, order: bool = True, text: str = "text") -> DataFrame:
+    """docs with failed_rule, the first rule of the estimated order that rejects (null: kept), and rules_tried.
+
+    measure: also q_<measure> and base_failed for every document; what fails the base is rejected as `base` before any rule.
+    order: False takes the rules as they are given.
+    """
+    rules = default_rules(text, measure) if rules is None else rules
+    rows = measured(docs, text) if measure else docs
+    if order and len(rules) > 1:
+        # drawn row by row: a limit would send sample_rows rows of every partition to one task
+        share = min(1.0, sample_rows / max(docs.count(), 1))
+        sample = docs.sample(share, seed=1)
+        rules = ordered(rules, measured(sample, text) if measure else sample)
+    verdict = F.when(base_failed(), "base") if measure else F.when(F.lit(False), "")
+    for rule in rules:
+        verdict = verdict.when(F.coalesce(rule.rejects, F.lit(False)), rule.name)
+    out = rows.withColumns({**({"base_failed": base_failed()} if measure else {}), "failed_rule": verdict})
+    place = F.array_position(F.array(*(F.lit(r.name) for r in rules)), F.col("failed_rule")).cast("int") if rules else F.lit(0)
+    return out.withColumn("rules_tried", F.when(F.col("failed_rule").isNull(), F.lit(len(rules))).otherwise(place))
 
 
 QUALITY_SQL = r"""
