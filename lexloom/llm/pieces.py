@@ -5,8 +5,10 @@ relaxes the best score of that position from that of the piece's start. A charac
 its UTF-8 bytes. Decoding restores every text exactly: spaces are pieces of their own marker, a literal marker
 character is coded as bytes, and one space put before a text is taken off again.
 
-Scores are the model's where it is a unigram model. A BPE model stores merge ranks instead; the score of rank r is then
--ln(r + 1), the log-probability of Zipf's law, under which the best path prefers few and frequent pieces.
+Scores are those of the model's file. A BPE model stores negated merge ranks, under which the best path prefers few and early
+pieces; zipf=True reads rank r as -ln(r + 1) instead, the log-probability of Zipf's law. As in the library's unigram models a
+character without a piece scores UNKNOWN below the least piece, and with such a model the ids are the library's own. Texts are coded as
+they are, without the model's normaliser, so that decoding restores them.
 
 If no piece goes on past a space or holds a line end, as checked on loading, texts are cut there without changing any best path, and
 each worker remembers the ids of cut pieces.
@@ -31,8 +33,8 @@ from pyspark.sql import types as T
 from lexloom.llm.common import Memory, small_batches
 
 MARK = "▁"
-#: Added to the least piece score for every byte of a character without pieces.
-BYTE_PENALTY = -10.0
+#: Added to the least piece score for a character without pieces.
+UNKNOWN = -10.0
 _CUT = regex.compile(r"\n| *[^ \n]+| +").findall
 _models: dict[int, "Pieces"] = {}
 
@@ -40,16 +42,15 @@ _models: dict[int, "Pieces"] = {}
 class Pieces:
     """A SentencePiece model file, ready to encode and decode."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, zipf: bool = False):
         own = sentencepiece.SentencePieceProcessor(model_proto=model)
         names = [own.id_to_piece(i) for i in range(own.get_piece_size())]
         normal = [i for i in range(len(names)) if not (own.is_control(i) or own.is_byte(i) or own.is_unused(i) or own.is_unknown(i))]
         raw = {i: own.get_score(i) for i in normal}
-        ranks = all(s == int(s) for s in raw.values())
         self.byte_ids = {int(n[1:-1], 16): i for i, n in enumerate(names) if own.is_byte(i)}
-        self.scores = {i: -math.log(1 - raw[i]) if ranks else raw[i] for i in normal}
+        self.scores = {i: -math.log(1 - raw[i]) if zipf else raw[i] for i in normal}
         self.names = {names[i].replace(MARK, " "): i for i in normal}
-        self.byte_score = min(self.scores.values()) + BYTE_PENALTY
+        self.byte_score = min(self.scores.values()) + UNKNOWN
         self.automaton = ahocorasick.Automaton()
         for name, i in self.names.items():
             self.automaton.add_word(name, (len(name), i, self.scores[i]))
@@ -69,7 +70,7 @@ class Pieces:
             end = last + 1
             while done < last:  # positions before this end have met all their pieces
                 done += 1
-                alone = best[done - 1] + fall * len(text[done - 1].encode())
+                alone = best[done - 1] + fall
                 if alone > best[done]:
                     best[done], size[done], piece[done] = alone, 1, -1
             reached = best[end - length] + score
@@ -77,7 +78,7 @@ class Pieces:
                 best[end], size[end], piece[end] = reached, length, i
         while done < n:
             done += 1
-            alone = best[done - 1] + fall * len(text[done - 1].encode())
+            alone = best[done - 1] + fall
             if alone > best[done]:
                 best[done], size[done], piece[done] = alone, 1, -1
         out, at = [], n
@@ -104,11 +105,11 @@ class Pieces:
         return text[1:]
 
 
-def _model(spec: bytes) -> Pieces:
-    key = hash(spec)
+def _model(spec: bytes, zipf: bool = False) -> Pieces:
+    key = hash((spec, zipf))
     if key not in _models:
         _models.clear()
-        _models[key] = Pieces(spec)
+        _models[key] = Pieces(spec, zipf)
     return _models[key]
 
 
@@ -118,12 +119,12 @@ def _load(rows: DataFrame, model_file: str):
         return rows.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), zipf: bool = False) -> DataFrame:
     """The keep columns and piece_ids (binary, little-endian uint32) of every whole text; the model file is broadcast."""
     sent = _load(docs, model_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(sent.value)
+        model = _model(sent.value, zipf)
         for batch in batches:
             ids = pa.array([model.encode(t) for t in batch.column(len(keep)).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids], [*keep, "piece_ids"])
