@@ -29,10 +29,27 @@ def k_means(points: DataFrame, k: int, cosine: bool = True, seed: int = 1) -> Da
 
 
 def hierarchical(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """k-means into BRANCHES branches, bisected on to k clusters."""
-    data = _vectors(points)
-    model = BisectingKMeans(k=k, maxIter=MAX_ITERATIONS, seed=seed).fit(data)
-    return model.transform(data).select(F.col("prediction").alias("cluster_id"), "feature", F.lit(1.0).alias("factor"))
+    """k-means into BRANCHES branches, each bisected on into its share of the k clusters, by its number of points."""
+    if k <= BRANCHES:
+        return k_means(points, k, cosine=False, seed=seed)
+    branches = k_means(points, BRANCHES, cosine=False, seed=seed).select("feature", F.col("cluster_id").alias("branch"))
+    rows = points.join(branches, "feature").persist()
+    sizes = {r.branch: r["count"] for r in rows.groupBy("branch").count().collect()}  # at most BRANCHES rows
+    total = sum(sizes.values())
+    shares = {b: max(1, k * n // total) for b, n in sizes.items()}
+    for b in sorted(sizes, key=lambda b: (k * sizes[b] / total - shares[b], b), reverse=True)[: max(0, k - sum(shares.values()))]:
+        shares[b] += 1
+    parts, first = [], 0
+    for b in sorted(shares):
+        own = rows.where(F.col("branch") == b)
+        if shares[b] == 1:
+            members = own.select(F.lit(0).alias("cluster_id"), "feature")
+        else:
+            data = _vectors(own)
+            members = BisectingKMeans(k=shares[b], maxIter=MAX_ITERATIONS, seed=seed).fit(data).transform(data).select(F.col("prediction").alias("cluster_id"), "feature")
+        parts.append(members.select((F.col("cluster_id") + first).alias("cluster_id"), "feature", F.lit(1.0).alias("factor")))
+        first += shares[b]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def several(points: DataFrame, ks: list[int], cluster=k_means) -> DataFrame:

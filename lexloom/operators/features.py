@@ -106,9 +106,12 @@ def embedding_means(tokens: DataFrame, embeddings: DataFrame, name: str = "w2v")
     """Per document the mean vector of its tokens, one feature a dimension; unknown tokens count in the denominator."""
     tf = tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
     totals = tf.groupBy("doc_id").agg(F.sum("n").alias("total"))
-    dims = tf.join(embeddings.withColumnRenamed("term", "token"), "token").select("doc_id", "n", F.posexplode("vec").alias("dim", "x"))
-    sums = dims.groupBy("doc_id", "dim").agg(F.sum(F.col("n") * F.col("x")).alias("s"))
-    return sums.join(totals, "doc_id").select(F.lit(name).alias("feature_set"), "doc_id", F.col("dim").cast("string").alias("feature"), (F.col("s") / F.col("total")).alias("value"))
+    known = tf.join(embeddings.withColumnRenamed("term", "token"), "token")
+    # one sum a dimension beside each other: rows stay as many as known tokens
+    width = embeddings.agg(F.max(F.size("vec"))).head()[0] or 0
+    sums = known.groupBy("doc_id").agg(F.array(*(F.sum(F.col("n") * F.get("vec", F.lit(i))) for i in range(width))).alias("s"))
+    rows = sums.join(totals, "doc_id").select("doc_id", "total", F.posexplode("s").alias("dim", "x")).where("x is not null")
+    return rows.select(F.lit(name).alias("feature_set"), "doc_id", F.col("dim").cast("string").alias("feature"), (F.col("x") / F.col("total")).alias("value"))
 
 
 def dimension_stats(embeddings: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.ml.classification import LinearSVC, LinearSVCModel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def vocabulary(names: DataFrame) -> DataFrame:
@@ -25,13 +26,13 @@ def sparse_rows(features: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def vectors(docs: DataFrame, features: DataFrame, vocab: DataFrame, size: int) -> DataFrame:
-    """docs with a sparse vector column features; documents without features get the zero vector."""
+    """docs with a sparse vector column features; documents without features get the zero vector.
 
-    @F.udf(VectorUDT())
-    def build(cells):
-        return SparseVector(size, [(c.idx, c.value) for c in cells or ()])
-
-    return docs.join(sparse_rows(features, vocab), "doc_id", "left").withColumn("features", build("cells")).drop("cells")
+    The vector's parts are built by Spark; Arrow batches pass through unchanged and only take the vector's type."""
+    cells = F.coalesce("cells", F.array().cast("array<struct<idx:bigint,value:double>>"))
+    parts = (F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.transform(cells, lambda c: c["idx"].cast("int")).alias("indices"), F.transform(cells, lambda c: c["value"]).alias("values"))
+    rows = docs.join(sparse_rows(features, vocab), "doc_id", "left").select(*docs.columns, F.struct(*parts).alias("features"))
+    return rows.mapInArrow(lambda batches: batches, T.StructType([*docs.schema, T.StructField("features", VectorUDT())]))
 
 
 def libsvm_lines(docs: DataFrame, features: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -109,6 +110,6 @@ def topics(tokens: DataFrame, k: int, iterations: int = 20, seed: int = 1, words
     docs = tokens.groupBy("doc_id").agg(F.collect_list("token").alias("words")).persist()
     counted = CountVectorizer(inputCol="words", outputCol="features", minDF=2).fit(docs)
     model = LDA(k=k, maxIter=iterations, seed=seed, docConcentration=[max(50 // k, 1) + 0.0], topicConcentration=0.1, optimizer="online").fit(counted.transform(docs).persist())
-    names = F.array(*(F.lit(w) for w in counted.vocabulary)) if counted.vocabulary else F.array().cast("array<string>")
-    rows = model.describeTopics(words).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t"))
-    return rows.select("topic", F.get(names, F.col("t.termIndices")).alias("word"), F.col("t.termWeights").alias("weight"))
+    names = tokens.sparkSession.createDataFrame(list(enumerate(counted.vocabulary)), "termIndices int, word string")  # at most CountVectorizer's 2**18
+    rows = model.describeTopics(words).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t")).select("topic", "t.*")
+    return rows.join(names, "termIndices").select("topic", "word", F.col("termWeights").alias("weight"))

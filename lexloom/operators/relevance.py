@@ -197,10 +197,11 @@ def interval_classified(features: DataFrame, docs: DataFrame, feature: str, cuts
 
 
 def relevance_report(features: DataFrame, labels: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
-    """Per feature: contributions of both labels, purities and a description, by the first contribution descending."""
+    """Per feature: contributions of both labels (0 where nothing splits), purities and a description, by the first contribution descending."""
     hist = value_histogram(features, labels)
     splits = binary_splits(hist)
-    rows = label_contributions(hist, splits).join(purity(hist, splits), "feature")
+    rows = purity(hist, splits).join(label_contributions(hist, splits), "feature", "left").na.fill(0.0, ["ig0", "ig1"])
+    rows = rows.select("feature", "ig0", "ig1", "pos", "neg")
     rows = rows.withColumn("description", F.col("feature")) if descriptions is None else rows.join(descriptions, "feature", "left")
     return rows.orderBy(F.desc("ig0"), "feature")
 

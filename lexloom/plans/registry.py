@@ -20,7 +20,7 @@ from lexloom.operators import features as G
 from lexloom.operators import learn as L
 from lexloom.operators import relevance as R
 from lexloom.operators import selectors as S
-from lexloom.plans import config
+from lexloom.plans import config, small_cases
 from lexloom.session import shared_path, stored, table
 from lexloom.sources import readers
 from lexloom.streaming import scorer
@@ -41,11 +41,11 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | small_cases.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | small_cases.SQL
 
 
 # shared inputs
@@ -77,7 +77,9 @@ def quality_labels(spark, sf):
 
 
 def labelled_bow(spark, sf):
-    return bow(spark, sf).join(quality_labels(spark, sf).select("doc_id"), "doc_id", "left_semi")
+    """The bag of the labelled training documents, written once: selection, vectors and models read it again and again."""
+    rows = bow(spark, sf).join(quality_labels(spark, sf).select("doc_id"), "doc_id", "left_semi")
+    return stored(rows, "labelled-bow")
 
 
 def dimensions(spark, sf):
@@ -177,7 +179,7 @@ def _(spark, sf):
 
 @query("bow_stemmed")
 def _(spark, sf):
-    t = X.stemmed(tokens(spark, sf))
+    t = stored(X.stemmed(stored(tokens(spark, sf).select("doc_id", "token"), "tokens")), "stems")
     return G.bag_of_words(t, G.corpus_counts(training(t)), 3).select("doc_id", "feature", "value")
 
 
@@ -432,9 +434,11 @@ def _(spark, sf):
     return R.interval_votes(hist, splits.select("feature", F.array("cut").alias("cuts")))
 
 
-@query("relevance_report")
+@query("relevance_report", f"""SELECT feature, coalesce(ig0, 0)::DOUBLE AS ig0, coalesce(ig1, 0)::DOUBLE AS ig1, pos, neg, feature AS description
+FROM ({_SQL["posneg_purity"]}) LEFT JOIN ({_SQL["ig_label_contrib"]}) USING (feature)""")
 def _(spark, sf):
-    return R.relevance_report(labelled_bow(spark, sf), quality_labels(spark, sf))
+    rows = R.relevance_report(labelled_bow(spark, sf), quality_labels(spark, sf))
+    return rows.select("feature", *(F.round(c, 6).alias(c) for c in ("ig0", "ig1", "pos", "neg")), "description")
 
 
 @query("mdlp_ig")
@@ -576,7 +580,7 @@ def _(spark, sf):
 
 @query("kmeans_hierarchical")
 def _(spark, sf):
-    return C.hierarchical(_feature_points(spark, sf), 16)
+    return C.hierarchical(_feature_points(spark, sf), 24)
 
 
 @query("cluster_by_documents")
