@@ -1,15 +1,19 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Weights. Word counts of toxic and clean training documents, with an informative Dirichlet prior whose mean is the word's share of
-the whole corpus (Monroe, Colaresi and Quinn 2008), give each word a log-odds ratio. Words that are surely more toxic keep
-it: the number of toxic among all training documents with the word exceeds the toxic share by a binomial (Chernoff) bound, with
-SURE nats to spare over the number of words tried. Every other word costs DRIFT, so segments of clean text score below zero.
+Weights. Every word scores the log-odds of toxic passages against clean text, with an informative Dirichlet prior whose mean is the
+word's share of the whole corpus (Monroe, Colaresi and Quinn 2008). Passages are not labelled, documents are: log-odds of whole
+documents find the best segment of each toxic training document, and its words then count as toxic passage. How far a word keeps
+its own odds follows from its evidence by documents, the binomial (Chernoff) bound on its share of toxic ones: an odd word keeps them,
+positive or negative; a word without evidence scores as all such words together, which are rarer in passages than in clean text.
+Scores are shifted, where need be, so that their exponentials average 1 at most under the clean word shares: the expected step is
+negative by construction.
 
 Scan. Ruzzo and Tompa's linear-time algorithm (1999) finds all maximal-scoring segments of a text.
 
 Calibration. Under clean text the best segment of n words follows an extreme-value law, P(S > x) = 1 - exp(-K n exp(-lambda x))
-(Karlin and Altschul 1990): lambda solves E[exp(lambda s)] = 1 under the clean word shares, K is fitted to the best segments of clean training
-documents. Segments whose expected number by chance is below 0.05 are significant. A document's score is a logistic function, fitted
+(Karlin and Altschul 1990): lambda solves E[exp(lambda s)] = 1 under the clean word shares; K makes the number of clean training
+documents, each of its own length, whose best segment passes the median such score as large as the law expects. Segments
+whose expected number by chance is below 0.05 are significant. A document's score is a logistic function, fitted
 on the training documents, of the extreme-value significance of its best segment and of the sum of its significant ones.
 
 Training takes at most TRAIN_ROWS labelled rows, chosen by a hash of the id; the prior counts the whole corpus.
@@ -37,8 +41,8 @@ from lexloom.llm.common import drop_stored, small_batches, stored
 
 #: Most labelled rows that train a model.
 TRAIN_ROWS = 50_000
-#: Weight of the corpus prior in words, nats to spare of a toxic word, cost of any other word.
-PRIOR, SURE, DRIFT = 1000.0, 3.0, 0.1
+#: Weight of the corpus prior in words; cost of a word without evidence while passages are not yet known.
+PRIOR, FIRST_DRIFT = 100.0, 0.1
 #: Expected number of chance segments below which one is significant.
 SIGNIFICANT = 0.05
 
@@ -81,18 +85,19 @@ class ToxicityModel:
     """Word weights and calibration; of bounded size, as training is bounded."""
 
     weights: dict[str, float]
+    other: float = -FIRST_DRIFT
     lam: float = 1.0
     k: float = 1.0
     logistic: tuple[float, float, float] = (-50.0, 0.0, 0.0)
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
-        """Maximal segments of words; runs of words that only cost are taken in one step."""
+        """Maximal segments of words; runs of words without a weight of their own are taken in one step."""
         get = self.weights.get
         places = [(i, w) for i, x in enumerate(words) if (w := get(x)) is not None]
         items, at, owner = [], 0, []
         for i, w in places:
             if i > at:
-                items.append(-DRIFT * (i - at))
+                items.append(self.other * (i - at))
                 owner.append(-1)
             items.append(w)
             owner.append(i)
@@ -129,8 +134,9 @@ def training_labels(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     return per_id.orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
 
 
-def _class_counts(sample: DataFrame) -> tuple[dict[str, tuple[int, int]], int, int]:
-    """Counts (toxic, clean) of the surely toxic words, and all words of each class. Bounded: at most TRAIN_ROWS texts speak."""
+def _class_counts(sample: DataFrame) -> tuple[dict[str, tuple[int, int, float]], int, int]:
+    """(toxic count, clean count, evidence) of the words with evidence, signed nats beyond chance; and all words of each class.
+    Bounded: at most TRAIN_ROWS texts speak."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, docs, texts = (Counter(), Counter()), (Counter(), Counter()), [0, 0]
@@ -154,15 +160,38 @@ def _class_counts(sample: DataFrame) -> tuple[dict[str, tuple[int, int]], int, i
     sums = stored(rows.groupBy("word").agg(of("n", 1).alias("t"), of("n", 0).alias("c"), of("docs", 1).alias("td"), of("docs", 0).alias("cd")), "toxic-counts")
     total = sums.where(F.col("word").isNull()).head()
     if total is None or not total.t or not total.c:
+        drop_stored(sums)
         return {}, 0, 0
     share = total.td / (total.td + total.cd)
-    tried = sums.where("word is not null and td > 1")
+    tried = sums.where("word is not null and td + cd > 1")
     n, part = F.col("td") + F.col("cd"), F.col("td") / (F.col("td") + F.col("cd"))
+    toxic_part = F.when(part > 0, part * F.ln(part / share)).otherwise(0.0)
     clean_part = F.when(part < 1, (1 - part) * F.ln((1 - part) / (1 - share))).otherwise(0.0)
-    nats = n * (part * F.ln(part / share) + clean_part)
-    odd = tried.where((part > share) & (nats > math.log(max(tried.count(), 1)) + SURE)).toPandas()
+    beyond = n * (toxic_part + clean_part) - math.log(max(tried.count(), 1))
+    odd = tried.withColumn("nats", beyond * F.when(part > share, 1).otherwise(-1)).where(beyond > 0).toPandas()
     drop_stored(sums)
-    return {w: (int(t), int(c)) for w, t, c in zip(odd.word, odd.t, odd.c)}, int(total.t), int(total.c)
+    return {w: (int(t), int(c), float(x)) for w, t, c, x in zip(odd.word, odd.t, odd.c, odd.nats)}, int(total.t), int(total.c)
+
+
+def _passage_counts(sample: DataFrame, model: ToxicityModel) -> tuple[dict[str, int], int]:
+    """Occurrences of the weighted words in the best segments of the toxic documents, and the number of all words there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        total = 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = words_of(text)
+                best = max(model.segments(words), key=lambda x: (x[2], -x[0]), default=(0, 0, 0.0))
+                part = words[best[0] : best[1]]
+                total += len(part)
+                counts.update(filter(model.weights.__contains__, part))
+        yield pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.string()), pa.array([*counts.values(), total], pa.int64())], ["word", "n"])
+
+    rows = sample.where("label = 1").select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    found = {r.word: r.n for r in rows}
+    total = found.pop(None, 0)
+    return found, total
 
 
 def _corpus_counts(docs: DataFrame, words: set[str]) -> tuple[dict[str, int], int]:
@@ -184,13 +213,33 @@ def _corpus_counts(docs: DataFrame, words: set[str]) -> tuple[dict[str, int], in
     return found, total
 
 
-def _karlin_lambda(weights: dict[str, float], clean: dict[str, float]) -> float:
+def passage_weights(evidence: dict[str, float], passage: dict[str, int], n_passage: int, clean: dict[str, int], n_clean: int, prior: dict[str, float]) -> tuple[dict[str, float], float, dict[str, float]]:
+    """Scores of the words with evidence, of all others, and the clean shares. prior: corpus shares.
+
+    Both distributions get PRIOR words of the corpus. A word keeps its own log-odds by 1 - exp(-evidence), and the rest of it the score
+    of all words without any; all are shifted down if their exponentials average more than 1 under the clean shares.
+    """
+    both = n_passage + PRIOR, n_clean + PRIOR
+    p = {w: (passage.get(w, 0) + PRIOR * prior[w]) / both[0] for w in evidence}
+    q = {w: (clean[w] + PRIOR * prior[w]) / both[1] for w in evidence}
+    other = math.log(max(1 - sum(p.values()), 1e-9) / max(1 - sum(q.values()), 1e-9))
+    scores = {}
+    for w, nats in evidence.items():
+        own = math.log(p[w] / q[w])
+        if (own > 0) == (nats > 0):
+            scores[w] = other + -math.expm1(-abs(nats)) * (own - other)
+    rest = max(1 - sum(q[w] for w in scores), 1e-9)
+    shift = max(0.0, math.log(sum(q[w] * math.exp(x) for w, x in scores.items()) + rest * math.exp(other)))
+    return {w: x - shift for w, x in scores.items()}, min(other - shift, -1e-3), q
+
+
+def _karlin_lambda(weights: dict[str, float], other: float, clean: dict[str, float]) -> float:
     """The positive root of E[exp(lambda s)] = 1 under clean word shares."""
     s = np.array([weights[w] for w in weights])
     p = np.array([clean[w] for w in weights])
     rest = max(1 - p.sum(), 1e-9)
     low, high = 1e-6, 1.0
-    f = lambda x: (p * np.exp(np.minimum(x * s, 700))).sum() + rest * math.exp(-x * DRIFT) - 1
+    f = lambda x: (p * np.exp(np.minimum(x * s, 700))).sum() + rest * math.exp(x * other) - 1
     while f(high) < 0 and high < 64:
         high *= 2
     for _ in range(80):
@@ -199,6 +248,20 @@ def _karlin_lambda(weights: dict[str, float], clean: dict[str, float]) -> float:
     return (low + high) / 2
 
 
+def _fitted_k(lam: float, sizes: np.ndarray, tops: np.ndarray) -> float:
+    """K at which as many documents of these sizes are expected to pass the median positive best score as do."""
+    some = tops[tops > 0]
+    if not len(some) or lam <= 0:
+        return math.exp(-30.0)
+    x = float(np.median(some))
+    observed, reach = float((tops >= x).sum()), sizes * math.exp(-min(lam * x, 700.0))
+    low, high = -30.0, 0.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if -np.expm1(-math.exp(middle) * reach).sum() < observed else (low, middle)
+    return math.exp((low + high) / 2)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
     """Ridge logistic regression by Newton steps."""
     design, beta = np.hstack([np.ones((len(x), 1)), x]), np.zeros(3)
@@ -215,24 +278,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityModel:
     """Fit on documents with a row in labels(doc_id, toxic); docs also gives the corpus prior."""
     small_batches(docs.sparkSession)
-    chosen = F.broadcast(stored(training_labels(labels, rows), "toxic-labels"))  # at most `rows` rows of 12 bytes
+    picked = stored(training_labels(labels, rows), "toxic-labels")
+    chosen = F.broadcast(picked)  # at most `rows` rows of 12 bytes
     sample = stored(docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("label_id")).select("text", "label"), "toxic-sample")
     counts, toxic_words, clean_words = _class_counts(sample)
-    if not toxic_words or not clean_words:
-        drop_stored(sample)
-        return ToxicityModel({}, logistic=(-700.0, 0.0, 0.0))
-    corpus, total = _corpus_counts(docs, set(counts))
-    weights, clean = {}, {}
-    for w, (t, c) in counts.items():
-        prior = PRIOR * (corpus.get(w, 0) + 1) / (total + 1)
-        odds = math.log((t + prior) / (toxic_words + PRIOR - t - prior)) - math.log((c + prior) / (clean_words + PRIOR - c - prior))
-        if odds > 0:
-            weights[w], clean[w] = odds, (c + prior) / (clean_words + PRIOR)
-    model = ToxicityModel(weights)
-    if not weights:
+    corpus, total = _corpus_counts(docs, set(counts)) if counts else ({}, 0)
+    share = {w: (corpus.get(w, 0) + 1) / (total + 1) for w in counts}
+    evidence, clean = {w: x for w, (_, _, x) in counts.items()}, {w: c for w, (_, c, _) in counts.items()}
+    first, _, _ = passage_weights(evidence, {w: t for w, (t, _, _) in counts.items()}, toxic_words, clean, clean_words, share)
+    first = ToxicityModel({w: x for w, x in first.items() if x > 0})
+    passage, n_passage = _passage_counts(sample, first) if first.weights else ({}, 0)
+    weights, other, shares = passage_weights(evidence, passage, n_passage, clean, clean_words, share) if n_passage else ({}, 0.0, {})
+    if not any(x > 0 for x in weights.values()):
         drop_stored(sample)
+        drop_stored(picked)
         return ToxicityModel({}, logistic=(-700.0, 0.0, 0.0))
-    model.lam = _karlin_lambda(weights, clean)
+    model = ToxicityModel(weights, other, _karlin_lambda(weights, other, shares))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,10 +304,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 
     seen = sample.select("text", "label").mapInArrow(best, "n long, s array<double>, label int").toPandas()
     drop_stored(sample)
+    drop_stored(picked)
     low = seen[(seen.label == 0) & (seen.n > 0)]
-    tops = np.array([max(s, default=0.0) for s in low.s])
-    if len(low):  # the mean of the law is (ln(K n) + 0.5772) / lambda
-        model.k = math.exp(min(max(model.lam * tops.mean() - 0.5772 - np.log(low.n).mean(), -30.0), 0.0))
+    model.k = _fitted_k(model.lam, low.n.to_numpy(np.float64), np.array([max(s, default=0.0) for s in low.s]))
     x = np.array([model.features(n, [(0, 0, v) for v in s]) for n, s in zip(seen.n, seen.s)]).reshape(-1, 2)
     model.logistic = _logistic(x, seen.label.to_numpy(np.float64))
     return model

@@ -22,29 +22,59 @@ def plain_toxicity(texts, labels):
     df = [Counter(w for d, y in train.items() if y == k for w in set(words[d])) for k in (0, 1)]
     corpus = Counter(w for ws in words.values() for w in ws)
     share = sum(train.values()) / len(train)
-    tried = [w for w in df[1] if df[1][w] > 1]
-    weights, clean = {}, {}
+    tried = [w for w in df[0] | df[1] if df[0][w] + df[1][w] > 1]
+    part = lambda x, y: x * math.log(x / y) if x > 0 else 0.0
+    evidence = {}
     for w in tried:
-        seen = df[0][w] + df[1][w]
-        part = df[1][w] / seen
-        nats = seen * (part * math.log(part / share) + ((1 - part) * math.log((1 - part) / (1 - share)) if part < 1 else 0))
-        if part > share and nats > math.log(len(tried)) + toxicity.SURE:
-            prior = toxicity.PRIOR * (corpus[w] + 1) / (corpus.total() + 1)
-            odds = [(n[k][w] + prior) / (n[k].total() + toxicity.PRIOR - n[k][w] - prior) for k in (0, 1)]
-            if odds[1] > odds[0]:
-                weights[w], clean[w] = math.log(odds[1] / odds[0]), (n[0][w] + prior) / (n[0].total() + toxicity.PRIOR)
-    if not weights:
+        seen, hit = df[0][w] + df[1][w], df[1][w] / (df[0][w] + df[1][w])
+        nats = seen * (part(hit, share) + part(1 - hit, 1 - share)) - math.log(len(tried))
+        if nats > 0:
+            evidence[w] = nats if hit > share else -nats
+    mean = {w: (corpus[w] + 1) / (corpus.total() + 1) for w in evidence}
+
+    def weigh(toxic, total):
+        """Score of any word, and of words without evidence."""
+        p = {w: (toxic[w] + toxicity.PRIOR * mean[w]) / (total + toxicity.PRIOR) for w in evidence}
+        q = {w: (n[0][w] + toxicity.PRIOR * mean[w]) / (n[0].total() + toxicity.PRIOR) for w in evidence}
+        other = math.log((1 - sum(p.values())) / (1 - sum(q.values())))
+        out = {}
+        for w, nats in evidence.items():
+            own = math.log(p[w]) - math.log(q[w])
+            if own * nats > 0:
+                keep = 1 - math.exp(-abs(nats))
+                out[w] = keep * own + (1 - keep) * other
+        z = math.log(sum(q[w] * math.exp(x) for w, x in out.items()) + (1 - sum(q[w] for w in out)) * math.exp(other))
+        return {w: x - max(z, 0) for w, x in out.items()}, min(other - max(z, 0), -1e-3), q
+
+    first = {w: x for w, x in weigh(n[1], n[1].total())[0].items() if x > 0}
+    inside = Counter()
+    for d, y in train.items():
+        if y == 1 and first:
+            found = toxicity.maximal_segments([first.get(w, -toxicity.FIRST_DRIFT) for w in words[d]])
+            a, b, _ = max(found, key=lambda x: (x[2], -x[0]), default=(0, 0, 0))
+            inside.update(words[d][a:b])
+    if not inside:
         return dict.fromkeys(texts, 0.0)
-    model = toxicity.ToxicityModel(weights, toxicity._karlin_lambda(weights, clean))
+    weights, other, clean = weigh(inside, inside.total())
+    model = toxicity.ToxicityModel(weights, other, toxicity._karlin_lambda(weights, other, clean))
     segments = {}
     for d, ws in words.items():
         # only runs between the first and the last weighted word can score; the definition is cubic elsewhere
         at = [i for i, w in enumerate(ws) if w in weights]
-        scores = [weights.get(w, -toxicity.DRIFT) for w in ws[at[0] : at[-1] + 1]] if at else []
+        scores = [weights.get(w, other) for w in ws[at[0] : at[-1] + 1]] if at else []
         segments[d] = plain_segments(scores) if len(scores) < 400 else toxicity.maximal_segments(scores)
     low = [d for d in train if train[d] == 0 and words[d]]
-    tops = [max((s for *_, s in segments[d]), default=0.0) for d in low]
-    model.k = math.exp(min(max(model.lam * sum(tops) / len(low) - 0.5772 - sum(math.log(len(words[d])) for d in low) / len(low), -30.0), 0.0))
+    tops = {d: max((s for *_, s in segments[d]), default=0.0) for d in low}
+    some = sorted(x for x in tops.values() if x > 0)
+    model.k = math.exp(-30)
+    if some:
+        x = (some[(len(some) - 1) // 2] + some[len(some) // 2]) / 2
+        observed, a, b = sum(t >= x for t in tops.values()), -30.0, 0.0
+        for _ in range(60):
+            c = (a + b) / 2
+            expected = sum(1 - math.exp(-math.exp(c) * len(words[d]) * math.exp(-model.lam * x)) for d in low)
+            a, b = (c, b) if expected < observed else (a, c)
+        model.k = math.exp((a + b) / 2)
     ids = list(train)
     x = np.array([model.features(len(words[d]), segments[d]) for d in ids])
     c, a, b = toxicity._logistic(x, np.array([train[d] for d in ids], float))

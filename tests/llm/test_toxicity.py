@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -34,7 +35,7 @@ def test_segments_by_definition(seed):
 def test_words_without_weight_are_skipped_in_one_step():
     model = toxicity.ToxicityModel({"bad": 2.0, "worse": 3.0})
     words = "a b bad c worse d e f g bad".split()
-    plain = toxicity.maximal_segments([model.weights.get(w, -toxicity.DRIFT) for w in words])
+    plain = toxicity.maximal_segments([model.weights.get(w, model.other) for w in words])
     assert [(a, b) for a, b, _ in model.segments(words)] == [(a, b) for a, b, _ in plain]
 
 
@@ -78,3 +79,20 @@ def test_odd_rows(spark, odd, empty):
         assert len(rows) == docs.count()
         assert all(r.tox_score < 0.5 and r.tox_passages == [] for r in rows if not (r.text or "").strip())
     assert toxicity.score_toxicity(odd, toxicity.ToxicityModel({})).columns == [c for c in odd.columns if c != "tox_score"] + ["tox_score", "tox_passages"]
+
+
+def test_expected_step_is_negative():
+    """Whatever the counts, the exponentials of the scores average 1 at most under the clean shares."""
+    import random
+
+    rng = random.Random(1)
+    for _ in range(50):
+        words = [f"w{i}" for i in range(rng.randrange(1, 30))]
+        clean = {w: rng.randrange(0, 300) for w in words}
+        passage = {w: rng.randrange(0, 40) for w in words}
+        n_passage, n_clean = sum(passage.values()) + rng.randrange(0, 100), sum(clean.values()) + rng.randrange(100, 5000)
+        share = {w: rng.random() / 100 for w in words}
+        scores, other, q = toxicity.passage_weights({w: rng.uniform(-9, 9) for w in words}, passage, n_passage, clean, n_clean, share)
+        rest = 1 - sum(q[w] for w in scores)
+        assert sum(q[w] * math.exp(x) for w, x in scores.items()) + rest * math.exp(other) <= 1 + 1e-9
+        assert sum(q[w] * x for w, x in scores.items()) + rest * other < 0
