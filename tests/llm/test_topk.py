@@ -30,6 +30,29 @@ def test_ties_and_one_crowded_pivot(spark, pivots):
     assert {tuple(r) for r in topk.top_k(table, F.col("vec_id") % 50 == 0, pivots=pivots).collect()} == brute(rows)
 
 
+def test_small_cells_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELL", 7)
+    monkeypatch.setattr(topk, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.top_k(table, F.col("vec_id") % 50 == 0, pivots=4).collect()} == brute(rows)
+
+
+def test_bounds_spare_most_of_clustered_vectors(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    rows = []
+    for i in range(4000):
+        x = centres[i % 20] + rng.normal(size=16) * 0.01
+        rows.append((i, [float(v) for v in x / np.linalg.norm(x)]))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    parts = topk.top_k_parts(table, F.col("vec_id") % 50 == 0, pivots=40)
+    assert topk.scored_share(parts, 4000, 80) < 0.2
+    assert {tuple(r) for r in topk.top_k(table, F.col("vec_id") % 50 == 0, pivots=40).collect()} == brute(rows)
+
+
 def test_large_values_stay_exact(spark):
     rows = [(i, [2.0**21 + i, -(2.0**20), 3.0]) for i in range(0, 120, 10)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
