@@ -89,3 +89,9 @@ def test_odd_rows(spark, odd, empty):
     found = secrets.secrets(twice).collect()
     assert len(found) == 4 and all([(s.start, s.rank, s.end) for s in r.strong] == plain(r.text) for r in found)
     assert secrets.secrets(empty).count() == 0
+
+
+def test_links_of_parts_that_complete_each_other(spark, sf):
+    import duckdb
+
+    assert sorted(tuple(r) for r in contracts.secret_links(spark, sf).collect()) == sorted(duckdb.sql(contracts.LINKS_SQL).fetchall())
