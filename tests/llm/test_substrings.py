@@ -112,6 +112,42 @@ def test_crowded_anchors_take_the_counted_way(spark, monkeypatch):
     compare(spark, list(enumerate(planted(7))), 12, 9, 5)
 
 
+def surrounded(n, seed=11):
+    """Texts that share a passage of 520 bytes in surroundings of their own, near copies of one text, and a copy."""
+    rng = random.Random(seed)
+    own = lambda size: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(size // 6))
+    passage, long = own(560)[:520], own(1500)
+    texts = [f"{own(300)} {passage} {own(300)}" for _ in range(n)]
+    for i in range(n // 4):
+        at = rng.randrange(len(long))
+        texts.append(long[:at] + f"<{i}>" + long[at:])
+    return [*texts, texts[0]]
+
+
+def test_crowded_windows_equal_all_windows(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD_CONTEXTS", 2)
+    compare(spark, list(enumerate(surrounded(40))), substrings.LENGTH, substrings.SUB, substrings.GRAM)
+
+
+def test_crowded_anchors_make_few_rows(spark, monkeypatch):
+    """Of a passage in many surroundings, far fewer rows than windows, and as many a text in a larger group."""
+    monkeypatch.setattr(substrings, "SHARD_CONTEXTS", 2)
+    kept, made = substrings.stored, {}
+
+    def counted(df, name):
+        out = kept(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(substrings, "stored", counted)
+    share = []
+    for n in (40, 160):
+        texts = surrounded(n)
+        substrings.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        share.append(sum(made.get(name, 0) for name in ("blocks", "pieces", "windows")) / len(texts))
+    assert made["windows"] > 0 and max(share) < 250 and share[1] < 1.2 * share[0]
+
+
 def test_small_shards_and_segments(spark, monkeypatch):
     monkeypatch.setattr(substrings, "SHARD_BYTES", 64)
     compare(spark, list(enumerate(planted(9))), 12, 9, 5)
