@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Text that is parted into words at a time, in bytes, and distinct words whose stems a worker remembers.
+SLICE_BYTES, STEMS = 4 << 20, 500_000
 
 
 def tokens(text: Column) -> Column:
@@ -23,6 +33,82 @@ def valid(rows: DataFrame, stop_words: DataFrame | None = None) -> DataFrame:
     return kept if stop_words is None else kept.join(stop_words.select("token").distinct(), "token", "left_anti")
 
 
+def term_counts(docs: DataFrame, text: str = "text", n: int = 1, stop_words: DataFrame | None = None, stem: bool = False, valid_only: bool = True) -> DataFrame:
+    """doc_id, token and n: occurrences of every valid token (or of every token), or stem, or run of `n` of them, in every document.
+
+    Rows are counted where a text is read, in Arrow batches, so that no single occurrence is shuffled; all rows of a document lie
+    together. Only where ids repeat are the counts of an id's texts summed up by a shuffle."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("token", T.StringType()), T.StructField("n", T.LongType())])
+    stop = [] if stop_words is None else [r.token for r in stop_words.select("token").distinct().collect()]  # a list of function words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                row, names, gram, count = _grams(part.column(1), n, stop, stem, valid_only)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), names.take(pa.array(gram)), pa.array(count)], schema.names)
+
+    rows = docs.select("doc_id", F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text")).mapInArrow(run, schema)
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows
+    return rows.groupBy("doc_id", "token").agg(F.sum("n").alias("n")).repartition("doc_id").sortWithinPartitions("doc_id")
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of (doc_id, text) in runs of rows of SLICE_BYTES, or of one longer text."""
+    ends, first = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)), 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+_WORD_BYTES = np.zeros(256, bool)
+_WORD_BYTES[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz")] = True
+
+
+def _words(text: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Row and word of every run of word bytes; bytes of other than ASCII letters part words."""
+    _, ends, data = text.buffers()
+    at = np.frombuffer(ends, np.int64 if pa.types.is_large_string(text.type) else np.int32)[text.offset : text.offset + len(text) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    word = _WORD_BYTES[raw]
+    start = word.copy()
+    start[1:] &= ~word[:-1]
+    begins = at[:-1][at[:-1] < len(raw)]
+    start[begins] = word[begins]
+    first = np.flatnonzero(start)
+    offsets = np.append(np.cumsum(word, dtype=np.int32)[first] - 1, np.count_nonzero(word)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(raw[word]))
+    return np.searchsorted(at, first, side="right") - 1, words.dictionary_encode()
+
+
+def _grams(text: pa.Array, n: int, stop: list[str], stem: bool, valid_only: bool) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Row, names, gram (a place in names) and count of the runs of n valid tokens of every text of a batch, by row."""
+    row, words = _words(text)
+    codes, values = words.indices.to_numpy(), words.dictionary
+    kept = np.ones(len(values), bool)
+    if valid_only:
+        kept &= ~pc.match_substring_regex(values, "[0-9]").to_numpy(zero_copy_only=False)
+    kept &= ~pc.is_in(values, pa.array(stop, pa.string())).to_numpy(zero_copy_only=False)
+    if stem:
+        stems = pa.array([_remembered_stem(w) for w in values.to_pylist()], pa.string())
+        kept &= pc.not_equal(stems, "").to_numpy(zero_copy_only=False)
+        stems = stems.dictionary_encode()
+        codes, taken, values = stems.indices.to_numpy()[codes], kept[codes], stems.dictionary
+    else:
+        taken = kept[codes]
+    row, codes = row[taken], codes[taken].astype(np.int64)
+    first = np.flatnonzero(row[: max(len(row) - n + 1, 0)] == row[n - 1 :])
+    gram, names = codes[first], values
+    for i in range(1, n):
+        pairs, gram = np.unique(gram * len(values) + codes[first + i], return_inverse=True)
+        names = pc.binary_join_element_wise(names.take(pa.array(pairs // len(values))), values.take(pa.array(pairs % len(values))), " ")
+    found, count = np.unique(row[first] * max(len(names), 1) + gram, return_counts=True)
+    return found // max(len(names), 1), names, found % max(len(names), 1), count.astype(np.int64)
+
+
 def ngrams(words: Column, n: int) -> Column:
     """All runs of n words, joined by blanks."""
     starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
@@ -102,6 +188,11 @@ def porter_stem(w: str) -> str:
     return w
 
 
+@lru_cache(STEMS)
+def _remembered_stem(word: str) -> str:
+    return porter_stem(word)
+
+
 def stemmed(rows: DataFrame) -> DataFrame:
     """rows with tokens replaced by their stems; each distinct token is stemmed once, in Arrow batches."""
 

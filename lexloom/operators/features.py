@@ -9,18 +9,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
+from lexloom.operators import postings as P
 
 
 # bag of words and n-grams
 
 def corpus_counts(tokens: DataFrame) -> DataFrame:
-    """token and its occurrences."""
-    return tokens.groupBy("token").agg(F.count("*").alias("n"))
+    """token and its occurrences, of rows (doc_id, token), or of those of term_counts(), which bring their count n."""
+    return tokens.groupBy("token").agg((F.sum("n") if "n" in tokens.columns else F.count("*")).alias("n"))
+
+
+def term_statistics(counted: DataFrame) -> DataFrame:
+    """token, its occurrences n and the documents df that have it, of the rows of term_counts()."""
+    return counted.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
 
 
 def bag_of_words(tokens: DataFrame, counts: DataFrame | None = None, threshold: int = 1, name: str = "bow") -> DataFrame:
-    """Term frequencies of the tokens whose corpus count reaches the threshold."""
-    tf = tokens.groupBy("doc_id", F.col("token").alias("feature")).agg(F.count("*").cast("double").alias("value"))
+    """Term frequencies of the tokens whose corpus count reaches the threshold; tokens as for corpus_counts()."""
+    if "n" in tokens.columns:
+        tf = tokens.select("doc_id", F.col("token").alias("feature"), F.col("n").cast("double").alias("value"))
+    else:
+        tf = tokens.groupBy("doc_id", F.col("token").alias("feature")).agg(F.count("*").cast("double").alias("value"))
     if counts is not None:
         kept = counts.where(F.col("n") >= threshold).select(F.col("token").alias("feature"))
         tf = tf.join(kept, "feature", "left_semi")
@@ -39,12 +48,7 @@ class BagOfWords:
     stop_words: DataFrame | None = None
 
     def grams(self, docs: DataFrame, n: int) -> DataFrame:
-        rows = X.valid(X.exploded_tokens(docs, self.text), self.stop_words)
-        rows = X.stemmed(rows) if self.stem else rows
-        if n == 1:
-            return rows
-        words = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda t: t["token"]).alias("w"))
-        return words.select("doc_id", F.explode(X.ngrams(F.col("w"), n)).alias("token"))
+        return X.term_counts(docs, self.text, n, self.stop_words, self.stem)
 
     def fit(self, training: DataFrame) -> list[DataFrame]:
         return [corpus_counts(self.grams(training, n)) for n in range(1, self.max_ngram + 1)]
@@ -104,11 +108,8 @@ def range_normalised(features: DataFrame, fitted: DataFrame) -> DataFrame:
 
 def embedding_means(tokens: DataFrame, embeddings: DataFrame, name: str = "w2v") -> DataFrame:
     """Per document the mean vector of its tokens, one feature a dimension; unknown tokens count in the denominator."""
-    tf = tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    totals = tf.groupBy("doc_id").agg(F.sum("n").alias("total"))
-    dims = tf.join(embeddings.withColumnRenamed("term", "token"), "token").select("doc_id", "n", F.posexplode("vec").alias("dim", "x"))
-    sums = dims.groupBy("doc_id", "dim").agg(F.sum(F.col("n") * F.col("x")).alias("s"))
-    return sums.join(totals, "doc_id").select(F.lit(name).alias("feature_set"), "doc_id", F.col("dim").cast("string").alias("feature"), (F.col("s") / F.col("total")).alias("value"))
+    means = P.vector_means(tokens, embeddings).select("doc_id", F.posexplode("mean").alias("dim", "value"))
+    return means.select(F.lit(name).alias("feature_set"), "doc_id", F.col("dim").cast("string").alias("feature"), "value")
 
 
 def dimension_stats(embeddings: DataFrame) -> DataFrame:
@@ -139,10 +140,7 @@ def concept_index(articles: DataFrame, prune: int | None = None) -> DataFrame:
 
 def concept_vectors(tokens: DataFrame, index: DataFrame, limit: int = 200) -> DataFrame:
     """doc_id, concept_id and weight: each document's `limit` heaviest concepts, ties to smaller ids."""
-    tf = tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    sums = tf.join(index, "token").groupBy("doc_id", "concept_id").agg(F.sum(F.col("n") * F.col("weight")).alias("weight"))
-    order = W.partitionBy("doc_id").orderBy(F.desc(F.round("weight", 9)), "concept_id")
-    return sums.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit).drop("r")
+    return P.heaviest(tokens, index, limit)
 
 
 def category_vectors(vectors: DataFrame, links: DataFrame, limit: int = 200) -> DataFrame:

@@ -66,9 +66,19 @@ def training(rows):
     return rows.where(F.col("doc_id") % 5 != 0)
 
 
+def counted(spark, sf, documents=None):
+    """doc_id, token and n of the documents, or of some of them."""
+    return X.term_counts(docs(spark, sf) if documents is None else documents, stop_words=stop_words(spark))
+
+
+def vocabulary(counts, name="vocabulary"):
+    """token, n and df over training documents of the tokens that occur three times there, written once: a small table whose size is known."""
+    return stored(G.term_statistics(training(counts)).where("n >= 3"), name)
+
+
 def bow(spark, sf, threshold=3):
-    t = tokens(spark, sf)
-    return G.bag_of_words(t, G.corpus_counts(training(t)), threshold)
+    t = counted(spark, sf)
+    return G.bag_of_words(t, vocabulary(t), threshold)
 
 
 def quality_labels(spark, sf):
@@ -78,8 +88,8 @@ def quality_labels(spark, sf):
 
 def labelled_bow(spark, sf):
     """The bag of the labelled training documents, written once: selection, vectors and models read it again and again."""
-    rows = bow(spark, sf).join(quality_labels(spark, sf).select("doc_id"), "doc_id", "left_semi")
-    return stored(rows, "labelled-bow")
+    labelled = docs(spark, sf).join(quality_labels(spark, sf).select("doc_id"), "doc_id", "left_semi")
+    return stored(G.bag_of_words(counted(spark, sf, labelled), vocabulary(counted(spark, sf)), 3), "labelled-bow")
 
 
 def dimensions(spark, sf):
@@ -92,7 +102,7 @@ def dimensions(spark, sf):
 def term_vectors(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
     slots = F.lit(2 * e.count())
-    terms = tokens(spark, sf).select(F.col("token").alias("term")).distinct()
+    terms = counted(spark, sf).select(F.col("token").alias("term")).distinct()
     slot = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % slots
     return terms.withColumn("vec_id", slot).join(e, "vec_id").select("term", "vec")
 
@@ -103,7 +113,7 @@ def articles(spark, sf):
 
 
 def esa(spark, sf, limit=10):
-    return G.concept_vectors(tokens(spark, sf), G.concept_index(articles(spark, sf)), limit)
+    return G.concept_vectors(counted(spark, sf), G.concept_index(articles(spark, sf)), limit)
 
 
 def category_links(spark, sf):
@@ -119,7 +129,7 @@ def classes(spark, sf):
 
 def token_members(spark, sf):
     """Clusters of tokens: by length."""
-    t = tokens(spark, sf).select(F.col("token").alias("feature")).distinct()
+    t = counted(spark, sf).select(F.col("token").alias("feature")).distinct()
     return t.select((F.char_length("feature") % 16).cast("int").alias("cluster_id"), "feature", F.lit(0.5).alias("factor"))
 
 
@@ -158,7 +168,7 @@ def _(spark, sf):
 
 @query("bow_corpus_count", f"WITH {TOK} SELECT token, count(*) AS n FROM tok WHERE doc_id % 5 <> 0 GROUP BY token HAVING count(*) >= 3")
 def _(spark, sf):
-    return G.corpus_counts(training(tokens(spark, sf))).where("n >= 3")
+    return G.corpus_counts(training(counted(spark, sf))).where("n >= 3")
 
 
 @query("bow_df", f"WITH {BOW} SELECT feature, count(*) AS df FROM bow WHERE doc_id % 5 <> 0 GROUP BY feature")
@@ -174,13 +184,13 @@ def _(spark, sf):
     g = G.BagOfWords(max_ngram=2, threshold=3, stem=False, stop_words=stop_words(spark))
     d = docs(spark, sf).select("doc_id", "text")
     pairs = g.grams(d, 2)
-    return G.bag_of_words(pairs, G.corpus_counts(training(pairs)), 3).select("doc_id", "feature", "value")
+    return G.bag_of_words(pairs, vocabulary(pairs), 3).select("doc_id", "feature", "value")
 
 
 @query("bow_stemmed")
 def _(spark, sf):
-    t = stored(X.stemmed(stored(tokens(spark, sf).select("doc_id", "token"), "tokens")), "stems")
-    return G.bag_of_words(t, G.corpus_counts(training(t)), 3).select("doc_id", "feature", "value")
+    t = X.term_counts(docs(spark, sf), stop_words=stop_words(spark), stem=True)
+    return G.bag_of_words(t, vocabulary(t), 3).select("doc_id", "feature", "value")
 
 
 @query("stopword_anti", rf"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '\W+')) AS token FROM documents) WHERE token <> '' AND token NOT IN ({_STOPS}) GROUP BY doc_id")
@@ -196,6 +206,13 @@ _IDF = {"n": "1", "t": "ln(n / df)", "p": "CASE WHEN n > df THEN greatest(0.0::D
 _NORM = {"n": "1", "c": "sqrt(sum(value * value) OVER d)"}
 
 
+def _weighted(spark, sf, scheme, post_norm=False):
+    t = counted(spark, sf)
+    kept = vocabulary(t)
+    df = kept.select(F.col("token").alias("feature"), "df")  # a kept token's rows are all in the bag
+    return G.tfidf(G.bag_of_words(t, kept, 3).select("doc_id", "feature", "value"), df, training(docs(spark, sf)).count(), scheme, post_norm)
+
+
 def _tfidf(scheme):
     t, d, c = scheme
     sql = f"""WITH {BOW}, df AS (SELECT feature, count(*)::DOUBLE AS df FROM bow WHERE doc_id % 5 <> 0 GROUP BY feature), nn AS (SELECT count(*)::DOUBLE AS n FROM documents WHERE doc_id % 5 <> 0)
@@ -203,9 +220,7 @@ SELECT doc_id, feature, round(CASE WHEN df IS NULL THEN value ELSE ({_TERM[t]})
 
     @query(f"tfidf_{scheme if scheme != 'Ltc' else 'avg_Ltc'}", sql)
     def _(spark, sf):
-        b = bow(spark, sf).select("doc_id", "feature", "value")
-        n = training(docs(spark, sf)).count()
-        return G.tfidf(b, G.document_frequency(training(b)), n, scheme).withColumn("value", F.round("value", 6))
+        return _weighted(spark, sf, scheme).withColumn("value", F.round("value", 6))
 
 
 for _s in ("nnn", "ntc", "ltc", "apc", "bnn", "Ltc", "lpn", "anc", "btc", "xtn"):
@@ -214,9 +229,7 @@ for _s in ("nnn", "ntc", "ltc", "apc", "bnn", "Ltc", "lpn", "anc", "btc", "xtn")
 
 @query("tfidf_post_norm")
 def _(spark, sf):
-    b = bow(spark, sf).select("doc_id", "feature", "value")
-    n = training(docs(spark, sf)).count()
-    return G.tfidf(b, G.document_frequency(training(b)), n, "ltc", post_norm=True)
+    return _weighted(spark, sf, "ltc", post_norm=True)
 
 
 _DIMS = "dims AS (SELECT vec_id AS doc_id, (i - 1)::VARCHAR AS feature, embedding[i]::DOUBLE AS value FROM (SELECT *, unnest(generate_series(1, len(embedding))) AS i FROM embeddings))"
@@ -240,7 +253,7 @@ SELECT doc_id, feature, CASE WHEN round(s / n, 6) = 0 THEN 0.0::DOUBLE ELSE roun
 def _(spark, sf):
     value = F.round("value", 6)
     unsigned = F.when(value == 0, 0.0).otherwise(value)  # negative zero as zero
-    return G.embedding_means(tokens(spark, sf), term_vectors(spark, sf)).select("doc_id", "feature", unsigned.alias("value"))
+    return G.embedding_means(counted(spark, sf), term_vectors(spark, sf)).select("doc_id", "feature", unsigned.alias("value"))
 
 
 @query("emb_dim_stats", f"WITH {_DIMS} SELECT feature::INTEGER AS dim, round(avg(value), 6) AS mean, round(sqrt(var_pop(value) * count(*)), 6) AS dev FROM dims GROUP BY feature")
@@ -487,7 +500,7 @@ def _(spark, sf):
 @query("page_lookup", f"WITH {TOK} SELECT token AS term, max(item_id) AS page_id FROM (SELECT DISTINCT token FROM tok) JOIN (SELECT item_id, lower(string_split(text, ' ')[1]) AS title FROM benchmark) ON title = token GROUP BY token")
 def _(spark, sf):
     pages = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lower(F.split("text", " ")[0]).alias("title_stemmed"))
-    return readers.page_ids(tokens(spark, sf).select(F.col("token").alias("term")), pages)
+    return readers.page_ids(counted(spark, sf).select(F.col("token").alias("term")), pages)
 
 
 @query("category_links", "SELECT item_id AS concept_id, item_id % 5 AS category FROM benchmark UNION ALL SELECT item_id, 100 + item_id % 3 FROM benchmark")
@@ -761,7 +774,7 @@ def experiment(spark, sf):
     """The configured experiment over the documents with a quality label."""
     known = table(spark, sf, "labels").where("quality is not null").select("doc_id")
     documents = docs(spark, sf).select("doc_id", "text", (F.col("doc_id") % 5 != 0).alias("is_training")).join(known, "doc_id", "left_semi").join(classes(spark, sf), "doc_id")
-    return config.experiment(spark, _CONFIG, documents.persist(), {"articles": articles(spark, sf), "category_links": category_links(spark, sf)})
+    return config.experiment(spark, _CONFIG, stored(documents, "experiment-documents"), {"articles": articles(spark, sf), "category_links": category_links(spark, sf)})
 
 
 @query("experiment_topic")
