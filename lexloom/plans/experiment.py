@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame
@@ -21,44 +22,56 @@ from lexloom.operators import features as G
 from lexloom.operators import learn as L
 from lexloom.operators import relevance as R
 from lexloom.operators import selectors as S
+from lexloom.session import stored
 
 FOLDS = 5
+LONG = ("feature_set", "doc_id", "feature", "value")
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """documents(doc_id, is_training, classes, texts), features in long form, and the sets that classifiers see."""
+    """documents(doc_id, is_training, classes, texts), the same without their texts, features in long form, and the sets that
+    classifiers see. Features are kept in parts, the sets of a part with its rows: each is written once, by its generator, and a
+    new one takes nothing over from those before. The table without texts is small, so that joins know its size."""
 
     documents: DataFrame
-    features: DataFrame
+    ids: DataFrame
+    parts: tuple[tuple[frozenset[str], DataFrame], ...] = ()
     visible: frozenset[str] = frozenset()
 
     @classmethod
     def of(cls, documents: DataFrame) -> "Corpus":
-        none = documents.sparkSession.createDataFrame([], "feature_set string, doc_id long, feature string, value double")
-        return cls(documents, none)
+        return cls(documents, stored(documents.select([c for c in ("doc_id", "is_training", "classes") if c in documents.columns]), "corpus-ids"))
 
-    def only(self, documents: DataFrame) -> "Corpus":
-        ids = documents.select("doc_id")
-        return replace(self, documents=documents, features=self.features.join(ids, "doc_id", "left_semi").select("feature_set", "doc_id", "feature", "value"))
+    def where(self, condition: str) -> "Corpus":
+        """The documents, and their features, that a condition on (doc_id, is_training, classes) holds for."""
+        ids = self.ids.where(condition)
+        kept = ids.select("doc_id")
+        parts = tuple((names, rows.join(kept, "doc_id", "left_semi").select(*LONG)) for names, rows in self.parts)
+        return replace(self, documents=self.documents.where(condition), ids=ids, parts=parts)
 
     def training(self) -> "Corpus":
-        return self.only(self.documents.where("is_training"))
+        return self.where("is_training")
 
     def sets(self, names: Iterable[str]) -> DataFrame:
-        return self.features.where(F.col("feature_set").isin(sorted(names)))
+        names = frozenset(names)
+        found = [rows if own <= names else rows.where(F.col("feature_set").isin(sorted(names))) for own, rows in self.parts if own & names]
+        if not found:
+            return self.documents.sparkSession.createDataFrame([], "feature_set string, doc_id long, feature string, value double")
+        return reduce(DataFrame.unionByName, found)
 
     def qualified(self, names: Iterable[str]) -> DataFrame:
         """doc_id, feature (qualified) and value of some sets."""
         return self.sets(names).select("doc_id", D.qualified().alias("feature"), "value")
 
     def labels(self, topic: str) -> DataFrame:
-        return D.topic_labels(self.documents, topic).select("doc_id", F.col("label").cast("int").alias("label"))
+        return D.topic_labels(self.ids, topic).select("doc_id", F.col("label").cast("int").alias("label"))
 
     def with_sets(self, rows: DataFrame, names: Iterable[str], used: bool) -> "Corpus":
-        names = set(names)
-        kept = self.features.where(~F.col("feature_set").isin(sorted(names)))
-        return Corpus(self.documents, kept.unionByName(rows).persist(), (self.visible - names) | (names if used else set()))
+        names = frozenset(names)
+        kept = tuple((own - names, old if not own & names else old.where(~F.col("feature_set").isin(sorted(names)))) for own, old in self.parts if own - names)
+        new = stored(rows.select(*LONG), "features")
+        return replace(self, parts=(*kept, (names, new)), visible=(self.visible - names) | (names if used else frozenset()))
 
 
 @dataclass
@@ -95,7 +108,7 @@ class Bow(Generator):
         return tuple(self.name if n == 1 else f"{self.name}{n}gram" for n in range(1, self.max_ngram + 1))
 
     def fit(self, training, labels):
-        return [c.persist() for c in self._bag().fit(training.documents)]
+        return [stored(c.where(F.col("n") >= self.threshold), "counts") for c in self._bag().fit(training.documents)]
 
     def rows(self, corpus, state):
         return self._bag().transform(corpus.documents, state)
@@ -110,7 +123,7 @@ class Tfidf(Generator):
         return self.sources
 
     def fit(self, training, labels):
-        return G.document_frequency(training.sets(self.sources)).persist(), training.documents.count()
+        return stored(G.document_frequency(training.sets(self.sources)), "document-frequencies"), training.ids.count()
 
     def rows(self, corpus, state):
         return G.tfidf(corpus.sets(self.sources), *state, self.scheme)
@@ -124,7 +137,7 @@ class RangeNormalize(Generator):
         return self.sources
 
     def fit(self, training, labels):
-        return G.ranges(training.sets(self.sources)).persist()
+        return stored(G.ranges(training.sets(self.sources)), "ranges")
 
     def rows(self, corpus, state):
         return G.range_normalised(corpus.sets(self.sources), state)
@@ -136,7 +149,7 @@ class EmbeddingMean(Generator):
     embeddings: DataFrame | None = None
 
     def rows(self, corpus, state):
-        return G.embedding_means(X.exploded_tokens(corpus.documents, self.text), self.embeddings, self.name)
+        return G.embedding_means(X.term_counts(corpus.documents, self.text, valid_only=False), self.embeddings, self.name)
 
 
 @dataclass
@@ -152,10 +165,11 @@ class Concepts(Generator):
         return (self.name,) if self.category_links is None else (self.name, f"{self.name}cats")
 
     def fit(self, training, labels):
-        return G.concept_index(self.articles).persist()
+        return stored(G.concept_index(self.articles), "concept-index")
 
     def rows(self, corpus, state):
-        vectors = G.concept_vectors(X.valid(X.exploded_tokens(corpus.documents, self.text)), state, self.limit)
+        vectors = G.concept_vectors(X.term_counts(corpus.documents, self.text), state, self.limit)
+        vectors = vectors if self.category_links is None else stored(vectors, "concept-vectors")  # read for both sets
         long = lambda rows, name, of: rows.select(F.lit(name).alias("feature_set"), "doc_id", F.col(of).cast("string").alias("feature"), F.col("weight").alias("value"))
         out = long(vectors, self.name, "concept_id")
         if self.category_links is None:
@@ -282,9 +296,9 @@ class Experiment:
         data = L.vectors(labels, training.qualified(training.visible), vocab, size)
         return corpus, L.train_svm(data, self.cost), vocab, size
 
-    def _predicted(self, trained, documents: DataFrame, topic: str) -> DataFrame:
+    def _predicted(self, trained, condition: str, topic: str) -> DataFrame:
         corpus, model, vocab, size = trained
-        part = corpus.only(documents)
+        part = corpus.where(condition)
         return L.predictions(model, L.vectors(part.labels(topic), part.qualified(part.visible), vocab, size))
 
     def report(self, corpus: Corpus, topic: str) -> DataFrame:
@@ -299,7 +313,7 @@ class Experiment:
         for fold in range(FOLDS):
             # generators are fitted on the other folds only: state fitted on all training documents would leak
             part = self._fold(docs, fold)
-            said = self._predicted(self._trained(generated(part, self.generators), topic), docs.where(F.col("fold") == fold), topic)
+            said = self._predicted(self._trained(generated(part, self.generators), topic), "not is_training", topic)
             out = said if out is None else out.unionByName(said)
         return out
 
@@ -312,8 +326,8 @@ class Experiment:
         corpus = self.processed()
         trained = self._trained(corpus, topic)
         rows = []
-        for name, docs in (("train", corpus.documents.where("is_training")), ("test", corpus.documents.where("not is_training"))):
-            rows.append(L.evaluation(self._predicted(trained, docs, topic)).withColumn("part", F.lit(name)))
+        for name, condition in (("train", "is_training"), ("test", "not is_training")):
+            rows.append(L.evaluation(self._predicted(trained, condition, topic)).withColumn("part", F.lit(name)))
         if self.repeated:
             # one small row an attempt; the seed of the best is what is kept of it
             tried = [L.evaluation(self.validated(corpus, topic, seed)).head() for seed in range(max(self.best_of, 1))]
