@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,19 +21,22 @@ def _vectors(points: DataFrame) -> DataFrame:
     return points.select("feature", array_to_vector("vec").alias("features")).persist()
 
 
+def _assigned(points: DataFrame, k: int, cosine: bool, seed: int) -> DataFrame:
+    """feature, features and prediction: the cached points beside their clusters, so that no join brings the two together."""
+    data = _vectors(points.where(F.exists("vec", lambda x: x != 0)) if cosine else points)
+    return KMeans(k=k, maxIter=MAX_ITERATIONS, tol=DELTA, seed=seed, distanceMeasure="cosine" if cosine else "euclidean").fit(data).transform(data)
+
+
 def k_means(points: DataFrame, k: int, cosine: bool = True, seed: int = 1) -> DataFrame:
     """cluster_id, feature and factor 1 of points(feature, vec); zero vectors take no part in cosine clusters."""
-    data = _vectors(points.where(F.exists("vec", lambda x: x != 0)) if cosine else points)
-    model = KMeans(k=k, maxIter=MAX_ITERATIONS, tol=DELTA, seed=seed, distanceMeasure="cosine" if cosine else "euclidean").fit(data)
-    return model.transform(data).select(F.col("prediction").alias("cluster_id"), "feature", F.lit(1.0).alias("factor"))
+    return _assigned(points, k, cosine, seed).select(F.col("prediction").alias("cluster_id"), "feature", F.lit(1.0).alias("factor"))
 
 
 def hierarchical(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """k-means into BRANCHES branches, each bisected on into its share of the k clusters, by its number of points."""
     if k <= BRANCHES:
         return k_means(points, k, cosine=False, seed=seed)
-    branches = k_means(points, BRANCHES, cosine=False, seed=seed).select("feature", F.col("cluster_id").alias("branch"))
-    rows = points.join(branches, "feature").persist()
+    rows = _assigned(points, BRANCHES, False, seed).select("feature", "features", F.col("prediction").alias("branch"))
     sizes = {r.branch: r["count"] for r in rows.groupBy("branch").count().collect()}  # at most BRANCHES rows
     total = sum(sizes.values())
     shares = {b: max(1, k * n // total) for b, n in sizes.items()}
@@ -45,7 +48,7 @@ def hierarchical(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
         if shares[b] == 1:
             members = own.select(F.lit(0).alias("cluster_id"), "feature")
         else:
-            data = _vectors(own)
+            data = own.select("feature", "features").persist()
             members = BisectingKMeans(k=shares[b], maxIter=MAX_ITERATIONS, seed=seed).fit(data).transform(data).select(F.col("prediction").alias("cluster_id"), "feature")
         parts.append(members.select((F.col("cluster_id") + first).alias("cluster_id"), "feature", F.lit(1.0).alias("factor")))
         first += shares[b]
@@ -59,21 +62,29 @@ def several(points: DataFrame, ks: list[int], cluster=k_means) -> DataFrame:
 
 
 def reweighted(points: DataFrame, members: DataFrame) -> DataFrame:
-    """Points drawn away from their centroid's main dimensions: v_d becomes v_d^2/|v|^2 (1 - y_d/(2 max y)), y_d = c_d^2/|c|^2."""
-    square = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
-    joined = points.join(members.select("feature", "cluster_id"), "feature")
+    """Points(feature, vec) drawn away from the main dimensions of the centroid of their cluster in members(feature, cluster_id)."""
+    return _reweighted(points.join(members.select("feature", "cluster_id"), "feature"))
+
+
+def _reweighted(joined: DataFrame) -> DataFrame:
+    """feature and vec of joined(feature, vec, cluster_id), with c the centroid of a cluster: v_d becomes v_d^2/|v|^2 (1 - y_d/(2 max y)), y_d = c_d^2/|c|^2."""
+    square = lambda v: F.greatest(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), F.lit(1e-300))
     dims = joined.select("cluster_id", F.posexplode("vec").alias("d", "x")).groupBy("cluster_id", "d").agg(F.avg("x").alias("c"))
     centroids = dims.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "c"))), lambda s: s["c"]).alias("cv"))
-    rows = joined.join(centroids, "cluster_id")
-    y = F.transform("cv", lambda c: c * c / F.greatest(square(F.col("cv")), F.lit(1e-300)))
-    rows = rows.withColumn("y", y)
-    vec = F.zip_with("vec", "y", lambda v, y: v * v / F.greatest(square(F.col("vec")), F.lit(1e-300)) * (1 - y / (2 * F.greatest(F.array_max("y"), F.lit(1e-300)))))
+    # lengths are bound as arguments of a lambda, so that they are taken once a vector and not once a component
+    given = lambda x, f: F.transform(F.array(x), f)[0]
+    y = given(square(F.col("cv")), lambda n: F.transform("cv", lambda c: c * c / n))
+    most = given(F.col("y"), lambda y: F.greatest(F.array_max(y), F.lit(1e-300)))
+    centroids = centroids.withColumn("y", y)
+    rows = joined.join(F.broadcast(centroids.select("cluster_id", "y")), "cluster_id")  # one vector a cluster
+    vec = given(F.struct(square(F.col("vec")).alias("n"), most.alias("m")), lambda s: F.zip_with("vec", "y", lambda v, y: v * v / s["n"] * (1 - y / (2 * s["m"]))))
     return rows.select("feature", vec.alias("vec"))
 
 
 def two_rounds(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """k-means, then again on the reweighted points."""
-    return k_means(reweighted(points, k_means(points, k, seed=seed)), k, seed=seed)
+    first = _assigned(points, k, True, seed).select("feature", vector_to_array("features").alias("vec"), F.col("prediction").alias("cluster_id"))
+    return k_means(_reweighted(first), k, seed=seed)
 
 
 def document_points(features: DataFrame, hashed: int = 256) -> DataFrame:
