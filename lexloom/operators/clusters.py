@@ -6,14 +6,18 @@ import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexloom.session import stored
+
 MAX_ITERATIONS, DELTA, BRANCHES = 25, 0.01, 16
+#: Values of all columns that one step of the agglomeration holds at a time.
+VALUES = 2_000_000
 
 
 def _vectors(points: DataFrame) -> DataFrame:
@@ -147,44 +151,79 @@ def upper_medians(relevance: DataFrame) -> DataFrame:
 
 def agglomerated(features: DataFrame, labels: DataFrame, clusters: int, best: DataFrame, combiner: str = "sum") -> DataFrame:
     """Greedy agglomeration: of the `best` features, pairs whose merged column keeps the most information gain are joined
-    until `clusters` are left. The features are a top-n, so the kernel's input is n sparse columns over labelled documents."""
+    until `clusters` are left.
+
+    The features are a top-n, so names and merges fit the driver. Columns stay where their documents are: each step counts, in Arrow
+    batches, the values that the weakest column makes with every other one, and only a gain a pair reaches the driver."""
     chosen = features.join(best.select("feature"), "feature", "left_semi").join(labels, "doc_id")
-    columns = chosen.select("feature", "doc_id", "value", "label")
     totals = labels.agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")).head()
-
-    def gain(column: dict[int, tuple[float, int]]) -> float:
+    chosen = stored(chosen.select("feature", "doc_id", "value", "label"), "agglomerated-columns")
+    spark = features.sparkSession
+    names = sorted(r.feature for r in chosen.select("feature").distinct().collect())
+    place = spark.createDataFrame(list(zip(names, range(len(names)))), "feature string, slot int")
+    cells = F.collect_list(F.struct("slot", F.col("value").cast("double").alias("value")))
+    rows = stored(chosen.join(F.broadcast(place), "feature").groupBy("doc_id").agg(F.first("label").cast("int").alias("label"), cells.alias("cells")).select("label", "cells"), "agglomerated-rows")
+
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        old = np.nan_to_num(a)  # not a number: absent
+        return np.where(np.isnan(b), a, old + b if combiner == "sum" else np.maximum(old, b))
+
+    def gain(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         h = lambda a, b: sum(-x * math.log2(x / (a + b)) for x in (a, b) if x > 0)
         by: dict[float, list[float]] = {0.0: [totals.n0, totals.n1]}
-        for v, label in column.values():
-            by[0.0][label] -= 1
-            by.setdefault(round(v, 6), [0, 0])[label] += 1
+        for v, w0, w1 in zip(*(table.column(c).to_pylist() for c in ("value", "w0", "w1"))):
+            cell = by.setdefault(round(v, 6), [0, 0])
+            for i, w in enumerate((w0, w1)):
+                by[0.0][i] -= w
+                cell[i] += w
         l0 = l1 = 0.0
         top, whole = 0.0, h(totals.n0, totals.n1)
         for v in sorted(by)[:-1]:
             l0, l1 = l0 + by[v][0], l1 + by[v][1]
             top = max(top, whole - h(l0, l1) - h(totals.n0 - l0, totals.n1 - l1))
-        return top / max(totals.n0 + totals.n1, 1)
-
-    def merge(a: dict, b: dict) -> dict:
-        out = dict(a)
-        for d, (v, label) in b.items():
-            old = out.get(d, (0.0, label))[0]
-            out[d] = (old + v if combiner == "sum" else max(old, v)), label
-        return out
-
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        parts = {f: dict(zip(g.doc_id, zip(g.value, g.label))) for f, g in group.groupby("feature", sort=True)}
-        held = [([f], c, gain(c)) for f, c in parts.items()]
-        while len(held) > clusters:
-            held.sort(key=lambda x: (x[2], x[0]))
-            names, column, _ = held.pop(0)  # the weakest goes where it costs least
-            tried = [(gain(m := merge(column, c)) - g, i, m) for i, (_, c, g) in enumerate(held)]
-            _, i, m = max(tried, key=lambda x: (x[0], -x[1]))
-            held[i] = (names + held[i][0], m, gain(m))
-        rows = [(i, f, 1.0) for i, (names, *_) in enumerate(sorted(held, key=lambda x: min(x[0]))) for f in sorted(names)]
-        return pd.DataFrame(rows, columns=["cluster_id", "feature", "factor"])
-
-    return columns.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(kernel, "cluster_id int, feature string, factor double")
+        return pa.table({"slot": pa.array([key[0].as_py()], pa.int32()), "gain": [top / max(totals.n0 + totals.n1, 1)]})
+
+    def gains(merged: list[tuple[int, int]], slots: list[int], weakest: int | None = None) -> dict[int, float]:
+        """Of every slot after the merges so far, beside the weakest one where it is given, the information gain."""
+
+        def run(batches):
+            for batch in batches:
+                step = max(VALUES // max(len(names), 1), 1)
+                for first in range(0, len(batch), step):
+                    part = batch.slice(first, step)
+                    label, lists = part.column(0).to_numpy(), part.column(1)
+                    flat, at = lists.flatten(), np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy())
+                    columns = np.full((len(names), len(part)), np.nan)
+                    columns[flat.field(0).to_numpy(), at] = flat.field(1).to_numpy()
+                    for a, b in merged:
+                        columns[b] = merge(columns[a], columns[b])
+                    for slot in slots:
+                        column = columns[slot] if weakest is None else merge(columns[weakest], columns[slot])
+                        some = np.nan_to_num(column) != 0
+                        values, key = np.unique(column[some], return_inverse=True)
+                        w = [np.bincount(key[label[some] == k], minlength=len(values)) for k in (0, 1)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), slot, np.int32)), pa.array(values), *map(pa.array, w)], ["slot", "value", "w0", "w1"])
+
+        counts = rows.mapInArrow(run, "slot int, value double, w0 long, w1 long").groupBy("slot", "value").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
+        found = {r.slot: r.gain for r in counts.groupBy("slot").applyInArrow(gain, "slot int, gain double").collect()}  # one row a slot
+        return {slot: found.get(slot, 0.0) for slot in slots}
+
+    merged: list[tuple[int, int]] = []
+    first = gains(merged, list(range(len(names)))) if names else {}
+    held = [([f], i, first[i]) for i, f in enumerate(names)]
+    while len(held) > clusters:
+        held.sort(key=lambda x: (x[2], x[0]))
+        own, weakest, _ = held.pop(0)  # the weakest goes where it costs least
+        if not held:
+            held = [(own, weakest, 0.0)]
+            break
+        found = gains(merged, [slot for _, slot, _ in held], weakest)
+        _, i = max(((found[slot] - g, -i) for i, (_, slot, g) in enumerate(held)))
+        others, slot, _ = held[-i]
+        held[-i] = (own + others, slot, found[slot])
+        merged.append((weakest, slot))
+    out = [(i, f, 1.0) for i, (group, *_) in enumerate(sorted(held, key=lambda x: min(x[0]))) for f in sorted(group)]
+    return spark.createDataFrame(out, "cluster_id int, feature string, factor double")
 
 
 def most_similar(missing: DataFrame, known: DataFrame) -> DataFrame:
